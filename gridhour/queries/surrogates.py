@@ -155,15 +155,19 @@ TRADES = f"""{READINGS}, trades AS (SELECT lpad(CAST(event_id AS VARCHAR), 12, '
  FROM readings)"""
 
 
+SHIFT_DAYS = 9131
+
+
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars over several years: one price per day, commodity and contract.
 
     TTF contracts are 1 to 4 months out, EUA contracts are Decembers 0 to 3 years out.
+    Order days are moved to 2020 and later, because contract labels name years after 2000.
     """
     from gridhour.functions.labels import contract_label
 
     o = table(spark, sf, "orders")
-    fecha = F.col("o_orderdate").cast("date")
+    fecha = F.date_add(F.col("o_orderdate").cast("date"), SHIFT_DAYS)
     step = (F.col("o_custkey") % 4).cast("int")
     ttf = F.add_months(F.trunc(fecha, "month"), step + 1)
     eua = F.make_date(F.year(fecha) + step, F.lit(12), F.lit(1))
@@ -183,10 +187,10 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = "['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Sep','Oct','Nov','Dic']"
-BARS = f"""raw_bars AS (SELECT CAST(o_orderdate AS DATE) AS fecha, o_totalprice,
- CASE WHEN o_custkey % 3 = 0 THEN 'EUA' ELSE 'TTF' END AS commodity,
- CASE WHEN o_custkey % 3 = 0 THEN make_date(year(o_orderdate) + o_custkey % 4, 12, 1)
- ELSE CAST(date_trunc('month', o_orderdate) + to_months(CAST(o_custkey % 4 + 1 AS INTEGER)) AS DATE) END AS delivery FROM orders),
+BARS = f"""moved AS (SELECT CAST(o_orderdate AS DATE) + {SHIFT_DAYS} AS fecha, o_totalprice, o_custkey FROM orders),
+raw_bars AS (SELECT fecha, o_totalprice, CASE WHEN o_custkey % 3 = 0 THEN 'EUA' ELSE 'TTF' END AS commodity,
+ CASE WHEN o_custkey % 3 = 0 THEN make_date(year(fecha) + o_custkey % 4, 12, 1)
+ ELSE CAST(date_trunc('month', fecha) + to_months(CAST(o_custkey % 4 + 1 AS INTEGER)) AS DATE) END AS delivery FROM moved),
 bars AS (SELECT fecha, commodity, delivery, {_NAMES}[month(delivery)] || '-' || strftime(delivery, '%y') AS periodo,
  max(o_totalprice) AS cierre, min(o_totalprice) AS minimo, max(o_totalprice) AS maximo,
  sum(floor(o_totalprice / 1000)) AS volumen, count(*) AS n_trades

@@ -55,9 +55,9 @@ def _header(lines: Column) -> Column:
 def parse(files: DataFrame, text: str = "text", expected: str | None = None, tz: str = clock.MADRID) -> DataFrame:
     """Parsed form of each file with the reason if it is rejected."""
     keep = [c for c in files.columns if c != text]
-    lines = F.transform(F.split(F.col(text), "\\r?\\n"), F.trim)
+    lines = F.transform(F.split(F.col(text), "\\r?\\n"), lambda ln: F.trim(ln))
     read = files.select(*keep, lines.alias("lines"))
-    token = _first(F.filter(F.transform(F.split(F.col("lines")[0], ";"), F.trim), lambda t: t.rlike("^\\d{2}/\\d{2}/\\d{4}$")))
+    token = _first(F.filter(F.transform(F.split(F.col("lines")[0], ";"), lambda t: F.trim(t)), lambda t: t.rlike("^\\d{2}/\\d{2}/\\d{4}$")))
     read = read.select(
         *keep,
         F.to_date(F.try_to_timestamp(token, F.lit("dd/MM/yyyy"))).alias("delivery"),
