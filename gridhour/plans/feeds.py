@@ -20,8 +20,8 @@ def sane_price(c: Column) -> Column:
     return within(half_up(c, 2), *reg.PRICE_RANGE)
 
 
-def spot_prices(files: DataFrame, readings: DataFrame, zones: DataFrame) -> DataFrame:
-    """Hourly wide price frame from three sources.
+def spot_prices(files: DataFrame, readings: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hourly prices of three sources: the market-file columns, and the others in long form.
 
     ``files``: market files (file, text). ``readings``: (ts, column_name, value) sub-hour
     prices of the indicator feed. ``zones``: the same for the exchange feed, where hours

@@ -139,9 +139,12 @@ def daily_dataset(
     weather: bool = True,
     pending: bool = False,
     span: tuple[str, str] | None = (reg.DATASET_START, reg.DATASET_END),
+    places: int | None = 2,
 ) -> DataFrame:
     """One row per decision day D: 24 prices of D+1 and only what is known on D.
 
+    Numbers are rounded half-even to ``places``; ``None`` keeps them as they are.
+
     Every block is reduced to one row per day in its own scan; the blocks are then
     stacked and regrouped once and joined to the target days once.
     """
@@ -167,7 +170,8 @@ def daily_dataset(
     split_at = features.index("gas_mibgas") + len(reg.COMMODITY_COLUMNS)
     if valid_only:
         out = out.where(none_null(hours))
-    rounded = lambda c: half_even(F.col(c).cast("double"), 2).alias(c)
+    value = lambda c: F.col(c).cast("double")
+    rounded = lambda c: (value(c) if places is None else half_even(value(c), places)).alias(c)
     return out.select(
         "fecha",
         *[rounded(c) for c in hours],
