@@ -50,7 +50,7 @@ def bars_stream(trades: DataFrame, ts: str, keys: list[str], aggs: list[Column],
 
 def closed_days(readings: DataFrame, ts: str, series: str, tz: str = clock.MADRID, delay: str = "1 day") -> DataFrame:
     """Completeness of each local day once it is closed by the watermark: hours seen
-    against the length of the day."""
+    against the length of the day. A set holds at most the 25 hours of one day."""
     local = readings.withColumn("local_ts", clock.local_ts(F.col(ts), tz)).withWatermark("local_ts", delay)
     hours = F.collect_set(F.date_trunc("hour", F.col(ts).cast("timestamp")))
     days = local.groupBy(F.window("local_ts", "1 day").alias("w"), series).agg(F.size(hours).alias("n_hours"))
@@ -88,14 +88,17 @@ def start_merge(
     checkpoint: str,
     partition: str = "month",
     tol: float = 0.0,
+    last_days: int | None = None,
 ) -> StreamingQuery:
     """Merge each batch into a parquet table partitioned by month.
 
     With ``fill_null`` this is the review of late data; with ``overwrite_different`` the
-    re-reading of days that the source revises after publication.
+    re-reading of days that the source revises after publication; ``last_days`` then limits
+    each batch to its most recent days.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch if last_days is None else recent_days(batch, keys[0], last_days)
         once = dedupe.keep_last(batch, keys, order).drop(*[c for c in order if c not in keys])
         merge.merge_into_parquet(batch.sparkSession, path, once, keys, policy, partition, tol)
 
