@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,12 +49,16 @@ def price_source(name: Column, sources: tuple[str, ...] = PRICE_SOURCES) -> Colu
 
 
 def contract_delivery(label: Column) -> Column:
-    """First day of the delivery month of ``Dic-26``; unknown labels are NULL."""
-    pattern = "^\\s*(\\p{L}{3})\\s*-\\s*(\\d{1,3})\\s*$"
-    month_of = F.create_map(*chain.from_iterable((F.lit(m), F.lit(i)) for i, m in enumerate(CONTRACT_MONTHS, 1)))
-    month = F.try_element_at(month_of, F.regexp_extract(label, pattern, 1))
-    year = F.nullif(F.regexp_extract(label, pattern, 2), F.lit("")).cast("int") + F.lit(2000)
-    return F.when(month.isNotNull() & year.isNotNull(), F.make_date(year, month, F.lit(1)))
+    """First day of the delivery month of ``Dic-26``; unknown labels are NULL.
+
+    Plain string functions, each part used once: the optimizer copies this expression into
+    every filter that mentions the delivery, so it must stay cheap.
+    """
+    dash = F.instr(label, "-")
+    names = F.array(*[F.lit(m) for m in CONTRACT_MONTHS])
+    month = F.nullif(F.array_position(names, F.trim(F.substring(label, F.lit(1), dash - 1))), F.lit(0))
+    year = F.trim(F.substring(label, dash + 1, F.length(label))).try_cast("smallint")
+    return F.add_months(F.lit("2000-01-01").cast("date"), (year * 12 + month - 1).cast("int"))
 
 
 def contract_label(delivery: Column) -> Column:

@@ -58,15 +58,16 @@ def outer_blocks(blocks: list[DataFrame], key: str) -> DataFrame:
     outer joins would shuffle once per block. Each cell has at most one value.
     """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)
-    return stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in stacked.columns if c != key])
+    return stacked.groupBy(key).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in stacked.columns if c != key])
 
 
 def attach_blocks(base: DataFrame, blocks: list[DataFrame], key: str) -> DataFrame:
-    """Left join of feature blocks with unique keys onto the days of ``base``.
+    """Left join of feature blocks with unique keys onto the keys of ``base``.
 
-    The blocks are first stacked into one, so the base is joined once.
+    Blocks that end in a grouping by the key are already partitioned by it, and a left join
+    keeps the partitioning of its left side, so the chain adds no shuffle per block.
     """
-    return base.join(outer_blocks(blocks, key), key, "left")
+    return reduce(lambda acc, block: acc.join(block, key, "left"), blocks, base)
 
 
 def full_outer(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -81,21 +81,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str
     position = F.col("prob") * (F.col("n") - 1)
     rank = F.when(F.col("hi") == 1, F.ceil(position)).otherwise(F.floor(position))
     hits = ranks.withColumn("rank", rank).where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-    needed = hits.select(*by, "slot", "below", "n", "prob", "hi", "rank")
     keys = [*by, "slot"]
-    inside = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
-        placed.select(*keys, "v", "c")
-        .join(needed.select(*keys).distinct(), keys, "left_semi")
-        .withColumn("run", F.sum("c").over(inside))
-    )
+    # At most two ranks per probability fall into one bin, so the lists are short.
+    asked = F.struct("prob", "hi", "n", (F.col("rank") - F.col("below")).alias("inside"))
+    needed = hits.groupBy(*keys).agg(F.collect_list(asked).alias("asked"))
+    within = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cells = placed.select(*keys, "v", "c").join(needed, keys).withColumn("run", F.sum("c").over(within))
     found = (
-        cells.join(needed, keys)
-        .where(F.col("below") + F.col("run") > F.col("rank"))
-        .groupBy(*by, "prob", "n")
+        cells.select(*by, "v", "run", F.explode("asked").alias("a"))
+        .where(F.col("run") > F.col("a.inside"))
+        .groupBy(*by, F.col("a.prob").alias("prob"), F.col("a.n").alias("n"))
         .agg(
-            F.min(F.when(F.col("hi") == 0, F.col("v"))).alias("lo"),
-            F.min(F.when(F.col("hi") == 1, F.col("v"))).alias("up"),
+            F.min(F.when(F.col("a.hi") == 0, F.col("v"))).alias("lo"),
+            F.min(F.when(F.col("a.hi") == 1, F.col("v"))).alias("up"),
         )
     )
     part = F.col("prob") * (F.col("n") - 1) - F.floor(F.col("prob") * (F.col("n") - 1))

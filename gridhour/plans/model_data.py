@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridhour import registry as reg
 from gridhour.functions import clock, energy
-from gridhour.functions.numbers import half_even, none_null, zero_to_null
+from gridhour.functions.numbers import zero_to_null
 from gridhour.operators import align, joins
 from gridhour.operators.dedupe import require_unique
 from gridhour.sources.tables import between
@@ -53,7 +53,7 @@ def hourly_spine(
 
 def _ahead(df: DataFrame, ts: str, cols: tuple[str, ...], prefix: str = "", stats=("mean", "min", "max")) -> DataFrame:
     """Statistics of a forecast day, stored on the day before it."""
-    return align.shift_days(align.daily_stats(df, ts, list(cols), stats, prefix=prefix), "fecha", -1)
+    return align.daily_stats(df, ts, list(cols), stats, prefix=prefix, shift=-1)
 
 
 def forecast_block(t: dict[str, DataFrame]) -> DataFrame:
@@ -145,8 +145,8 @@ def daily_dataset(
 
     Numbers are rounded half-even to ``places``; ``None`` keeps them as they are.
 
-    Every block is reduced to one row per day in its own scan; the blocks are then
-    stacked and regrouped once and joined to the target days once.
+    Every block is reduced to one row per day in its own scan, partitioned by that day, and
+    joined to the target days.
     """
     day_col = {"commodities": "fecha", "esios_capacity_available": "date", "era5_weather_agg": "ts"}
     t = {n: _window(df, day_col.get(n, "datetime"), span) for n, df in tables.items()}
@@ -169,15 +169,14 @@ def daily_dataset(
     hours = [c for c in by_hour.columns if c != "fecha"]
     split_at = features.index("gas_mibgas") + len(reg.COMMODITY_COLUMNS)
     if valid_only:
-        out = out.where(none_null(hours))
-    value = lambda c: F.col(c).cast("double")
-    rounded = lambda c: (value(c) if places is None else half_even(value(c), places)).alias(c)
+        out = out.dropna(subset=hours)
+    shown = "CAST(`{0}` AS DOUBLE) AS `{0}`" if places is None else f"bround(CAST(`{{0}}` AS DOUBLE), {places}) AS `{{0}}`"
+    first, rest = features[:split_at], features[split_at:]
     return out.select(
         "fecha",
-        *[rounded(c) for c in hours],
-        *[rounded(c) for c in features[:split_at]],
+        *[F.expr(shown.format(c)) for c in hours + first],
         *calendar_cols,
-        *[rounded(c) for c in features[split_at:]],
+        *[F.expr(shown.format(c)) for c in rest],
     )
 
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridhour.session import ensure_utc
@@ -47,17 +46,17 @@ def presented(df: DataFrame) -> DataFrame:
     flip a tie)."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double") + F.lit(1e-9), 4) + F.lit(0.0)
+            c = f"round(CAST({c} AS DOUBLE) + 1e-9, 4) + 0.0D"
         elif isinstance(f.dataType, T.IntegralType):
-            c = c.cast("bigint")
+            c = f"CAST({c} AS BIGINT)"
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            c = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')"
         elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            c = f"date_format({c}, 'yyyy-MM-dd')"
+        out.append(f"{c} AS `{f.name}`")
+    return df.selectExpr(*out)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

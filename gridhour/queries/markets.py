@@ -41,6 +41,12 @@ def _front(spark, sf):
     return futures.front_series(s.bars(spark, sf), reg.FRONT_RULES)
 
 
+def _series_and_rolls(spark, sf):
+    bars = s.bars(spark, sf)
+    series = futures.front_series(bars, reg.FRONT_RULES)
+    return series, futures.rolls(series, bars)
+
+
 @query(
     "front_contract",
     "W08 J19 F14",
@@ -56,7 +62,7 @@ _ROLL = f"""commodity, {day('pf')} AS prev_fecha, {num('pp')} AS prev_precio, pc
 
 @query("roll_premium", "W09", f"WITH {_FRONT} SELECT {_ROLL} FROM turns")
 def roll_premium(spark, sf):
-    return futures.rolls(_front(spark, sf), s.bars(spark, sf))
+    return _series_and_rolls(spark, sf)[1]
 
 
 @query(
@@ -66,7 +72,7 @@ def roll_premium(spark, sf):
  OR row_number() OVER (PARTITION BY commodity ORDER BY fecha DESC) <= 6""",
 )
 def first_and_last_rolls(spark, sf):
-    return futures.first_and_last(futures.rolls(_front(spark, sf), s.bars(spark, sf)))
+    return futures.first_and_last(_series_and_rolls(spark, sf)[1])
 
 
 @query(
@@ -78,8 +84,7 @@ def first_and_last_rolls(spark, sf):
  {num('mj')} AS mean_jump, {num('mp')} AS mean_premium, {big('np')} AS n_premium, {num('mj / nullif(tc, 0)')} AS jump_ratio FROM t LEFT JOIN j USING (commodity)""",
 )
 def roll_report(spark, sf):
-    series = _front(spark, sf)
-    return futures.roll_report(series, futures.rolls(series, s.bars(spark, sf)))
+    return futures.roll_report(*_series_and_rolls(spark, sf))
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridhour import registry as reg
 from gridhour.functions.clock import hour_floor
 from gridhour.queries.base import table
+from gridhour.session import scratch_path
 
 TYPES = ["view", "signup", "error", "click", "purchase"]
 
@@ -74,9 +75,7 @@ HOURLY_TABLES = {
 
 
 def hourly_table(hourly: DataFrame, name: str) -> DataFrame:
-    return hourly.select(
-        F.col("ts").alias("datetime"), *[(F.col(t) * float(k)).alias(c) for c, t, k in HOURLY_TABLES[name]]
-    )
+    return hourly.selectExpr("ts AS datetime", *[f"{t} * {float(k)}D AS {c}" for c, t, k in HOURLY_TABLES[name]])
 
 
 def hourly_table_sql(name: str) -> str:
@@ -86,8 +85,8 @@ def hourly_table_sql(name: str) -> str:
 
 def weather_table(hourly: DataFrame) -> DataFrame:
     """3-hourly rows."""
-    cells = [(F.col(t) * float(k)).alias(c) for c, t, k in spread(reg.WEATHER_COLUMNS, 2)]
-    return hourly.where(F.hour("ts") % 3 == 0).select("ts", *cells)
+    cells = [f"{t} * {float(k)}D AS {c}" for c, t, k in spread(reg.WEATHER_COLUMNS, 2)]
+    return hourly.where(F.hour("ts") % 3 == 0).selectExpr("ts", *cells)
 
 
 _WX = ", ".join(f"{t} * {float(k)} AS {c}" for c, t, k in spread(reg.WEATHER_COLUMNS, 2))
@@ -121,7 +120,11 @@ CAPACITY = "esios_capacity_available AS (SELECT CAST(ts AS DATE) AS date, max(va
 
 
 def model_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    hourly = hourly_by_type(spark, sf)
+    """The tables of the model. Their common hourly frame is written once to the shared
+    folder, as the hourly tables would be stored, instead of being recomputed per table."""
+    path = scratch_path(spark, "hourly")
+    hourly_by_type(spark, sf).write.parquet(path)
+    hourly = spark.read.parquet(path)
     tables = {n: hourly_table(hourly, n) for n in HOURLY_TABLES}
     tables["era5_weather_agg"] = weather_table(hourly)
     tables["commodities"] = commodities_table(spark, sf)
@@ -163,6 +166,7 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
     TTF contracts are 1 to 4 months out, EUA contracts are Decembers 0 to 3 years out.
     Order days are moved to 2020 and later, because contract labels name years after 2000.
+    Bars are a stored table, so they are written once and read back.
     """
     from gridhour.functions.labels import contract_label
 
@@ -173,7 +177,7 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
     eua = F.make_date(F.year(fecha) + step, F.lit(12), F.lit(1))
     name = F.when(F.col("o_custkey") % 3 == 0, "EUA").otherwise("TTF")
     delivery = F.when(F.col("o_custkey") % 3 == 0, eua).otherwise(ttf)
-    return (
+    built = (
         o.select(fecha.alias("fecha"), name.alias("commodity"), contract_label(delivery).alias("periodo"), "o_totalprice")
         .groupBy("fecha", "commodity", "periodo")
         .agg(
@@ -184,6 +188,9 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
             F.count("*").alias("n_trades"),
         )
     )
+    path = scratch_path(spark, "bars")
+    built.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _NAMES = "['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Sep','Oct','Nov','Dic']"
