@@ -56,11 +56,14 @@ def merge_frames(
     policy: str,
     tol: float = 0.0,
     insert: bool | None = None,
+    insert_when: Column | None = None,
+    update_when: Column | None = None,
 ) -> DataFrame:
     """Stored table after the merge. Both sides must have unique keys.
 
     Columns that only one side has are kept (additive schema). ``insert`` overrides
-    whether fresh keys that are not stored are added.
+    whether fresh keys that are not stored are added. ``insert_when`` and ``update_when``
+    are conditions on the keys under which rows may be added or changed.
     """
     insert = policy not in NO_INSERT if insert is None else insert
     old_cols = [c for c in stored.columns if c not in keys]
@@ -70,6 +73,8 @@ def merge_frames(
     b = fresh.select(*keys, F.lit(True).alias("_f"), *[F.col(c).alias(f"_n_{c}") for c in new_cols])
     joined = a.join(b, keys, "full_outer" if insert else "left")
     is_stored = F.col("_s").isNotNull()
+    if insert_when is not None:
+        joined = joined.where(is_stored | insert_when)
     both = is_stored & F.col("_f").isNotNull()
     out = []
     for c in old_cols + [c for c in new_cols if c not in old_cols]:
@@ -78,7 +83,10 @@ def merge_frames(
             out.append(old.alias(c))
             continue
         new = F.col(f"_n_{c}").cast(types[c])
-        out.append(F.when(is_stored, _cell(policy, old, new, both, tol)).otherwise(new).alias(c))
+        cell = _cell(policy, old, new, both, tol)
+        if update_when is not None:
+            cell = F.when(update_when, cell).otherwise(old)
+        out.append(F.when(is_stored, cell).otherwise(new).alias(c))
     return joined.select(*keys, *out)
 
 
@@ -113,11 +121,11 @@ def ranged_merge(
     policy: str,
     tol: float = 0.0,
 ) -> DataFrame:
-    """Insert only inside the exact range, update inside the wider one."""
-    added = fresh.where(F.col(ts).between(*insert_between))
-    touched = fresh.where(F.col(ts).between(*update_between))
-    with_new = merge_frames(stored, added, [ts], INSERT_IGNORE)
-    return merge_frames(with_new, touched, [ts], policy, tol, insert=False)
+    """Insert only inside the exact range, update inside the wider one; one join for both."""
+    adds, updates = F.col(ts).between(*insert_between), F.col(ts).between(*update_between)
+    return merge_frames(
+        stored, fresh.where(adds | updates), [ts], policy, tol, insert=True, insert_when=adds, update_when=updates
+    )
 
 
 def months_to_rewrite(today: Column, settle_days: int = 5) -> Column:
@@ -140,14 +148,15 @@ def merge_into_parquet(
 
     Reads only the partitions of the fresh rows, stages the merged rows in the shared
     folder and swaps those partitions in with a dynamic overwrite. Repeating a failed or
-    finished call gives the same table.
+    finished call gives the same table. The rebalance hint lets Spark split a partition
+    value that holds most rows over several writers.
     """
     try:
         stored = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        fresh.repartition(partition).write.partitionBy(partition).parquet(path)
+        fresh.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
         return
     fresh = fresh.withColumn(partition, F.col(partition).cast(dict(stored.dtypes)[partition]))
     # Distinct partition values are few (months of the review window); as literals they
@@ -159,7 +168,7 @@ def merge_into_parquet(
     merged.write.parquet(staged)
     (
         spark.read.parquet(staged)
-        .repartition(partition)
+        .hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)

@@ -82,7 +82,7 @@ def _stored_table(spark, sf, name):
     stored, _ = s.stored_and_fresh(spark, sf)
     path = scratch_path(spark, name)
     day_of = F.date_format("ts", "yyyy-MM-dd")
-    stored.select("ts", "a", day_of.alias("part")).repartition("part").write.partitionBy("part").parquet(path)
+    stored.select("ts", "a", day_of.alias("part")).hint("rebalance", "part").write.partitionBy("part").parquet(path)
     return path
 
 

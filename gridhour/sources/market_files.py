@@ -19,8 +19,8 @@ PORTUGUESE_LINE = "precio marginal en el sistema portugues"
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) rows; files are a few kilobytes, so one row each is fine."""
-    texts = spark.read.option("encoding", "ISO-8859-1").text(path, wholetext=True)
-    return texts.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select(F.col("path").alias("file"), F.decode("content", "ISO-8859-1").alias("text"))
 
 
 def _first(array: Column) -> Column:

@@ -64,12 +64,12 @@ def tag_source(df: DataFrame, name: str) -> DataFrame:
 def write_hourly(df: DataFrame, path: str, ts: str) -> None:
     """Parquet by month; a rerun replaces only the months it holds.
 
-    Rows of a month go to one writer per target file, sorted by time, so range filters
-    skip row groups.
+    Spark rebalances the writers by month, splitting large months; rows are sorted by time
+    inside each file, so range filters skip row groups.
     """
     monthly = df.withColumn("month", F.date_format(month_floor(F.col(ts)), "yyyy-MM"))
     (
-        monthly.repartition("month", F.to_date(ts))
+        monthly.hint("rebalance", "month")
         .sortWithinPartitions("month", ts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
