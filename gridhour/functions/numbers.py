@@ -44,12 +44,15 @@ def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)
 
 
+# Rules over many columns are SQL text: one parsed expression instead of a chain of calls.
+
+
 def any_null(cols: list[str]) -> Column:
-    return any_of([F.col(c).isNull() for c in cols])
+    return F.expr(" OR ".join(f"`{c}` IS NULL" for c in cols))
 
 
 def none_null(cols: list[str]) -> Column:
-    return all_of([F.col(c).isNotNull() for c in cols])
+    return F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols))
 
 
 def add_all(cols: list[Column]) -> Column:
@@ -58,17 +61,17 @@ def add_all(cols: list[Column]) -> Column:
 
 def sum_null_as_zero(cols: list[str]) -> Column:
     """Row sum where NULL counts as 0; a row of NULLs gives 0."""
-    return add_all([F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
+    return F.expr(" + ".join(f"coalesce(`{c}`, 0.0D)" for c in cols))
 
 
 def sum_if_any(cols: list[str]) -> Column:
     """Row sum that is NULL only when every input is NULL."""
-    return F.when(F.coalesce(*[F.col(c) for c in cols]).isNotNull(), sum_null_as_zero(cols))
+    return F.when(F.coalesce(*cols).isNotNull(), sum_null_as_zero(cols))
 
 
 def row_mean(cols: list[str]) -> Column:
     """Row mean that skips NULL."""
-    present = add_all([F.col(c).isNotNull().cast("int") for c in cols])
+    present = F.expr(" + ".join(f"CAST(`{c}` IS NOT NULL AS INT)" for c in cols))
     return F.try_divide(sum_null_as_zero(cols), present)
 
 

@@ -139,12 +139,11 @@ def expand_month(df: DataFrame, month: str, today: Column, day: str = "day") ->
 
 def row_stats(df: DataFrame, cols: list[str], name: str, keep: list[str]) -> DataFrame:
     """Mean, minimum and maximum over several columns of a row, skipping NULL."""
-    values = [F.col(c) for c in cols]
     return df.select(
         *keep,
         row_mean(cols).alias(f"{name}_mean"),
-        F.least(*values).alias(f"{name}_min"),
-        F.greatest(*values).alias(f"{name}_max"),
+        F.least(*cols).alias(f"{name}_min"),
+        F.greatest(*cols).alias(f"{name}_max"),
     )
 
 

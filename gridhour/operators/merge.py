@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridhour.operators.joins import changed
-from gridhour.session import scratch_path
+from gridhour.session import scratch_path, spread_writers
 
 # policy: (inserts new keys, value of an existing cell)
 INSERT_IGNORE = "insert_ignore"
@@ -148,15 +148,15 @@ def merge_into_parquet(
 
     Reads only the partitions of the fresh rows, stages the merged rows in the shared
     folder and swaps those partitions in with a dynamic overwrite. Repeating a failed or
-    finished call gives the same table. The rebalance hint lets Spark split a partition
-    value that holds most rows over several writers.
+    finished call gives the same table. A partition value that holds most rows is split
+    over several writers.
     """
     try:
         stored = spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        fresh.hint("rebalance", partition).write.partitionBy(partition).parquet(path)
+        spread_writers(fresh, partition, keys).write.partitionBy(partition).parquet(path)
         return
     fresh = fresh.withColumn(partition, F.col(partition).cast(dict(stored.dtypes)[partition]))
     # Distinct partition values are few (months of the review window); as literals they
@@ -167,8 +167,7 @@ def merge_into_parquet(
     staged = scratch_path(spark, "merge")
     merged.write.parquet(staged)
     (
-        spark.read.parquet(staged)
-        .hint("rebalance", partition)
+        spread_writers(spark.read.parquet(staged), partition, keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)

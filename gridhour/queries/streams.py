@@ -41,7 +41,12 @@ def _drained(spark, stream, name, keys, mode="update"):
 )
 def stream_hourly_mean(spark, sf):
     aggs = [F.avg("value").alias("mean"), F.sum("value").alias("total"), F.count("*").alias("n")]
-    return _drained(spark, feeds.hourly_stream(_stream(spark, sf), "ts", "series", aggs), "hourly", ["ts", "series"])
+    hourly = feeds.hourly_stream(_stream(spark, sf), "ts", "series", aggs)
+    path = scratch_path(spark, "hourly-table")
+    keyed = hourly.withColumn("part", F.date_format("ts", "yyyy-MM-dd"))
+    state = feeds.state_path(spark, "hourly")
+    feeds.drain(feeds.start_merge(keyed, path, ["ts", "series"], [], merge.UPSERT, state, "part", mode="update"))
+    return spark.read.parquet(path).drop("part")
 
 
 @query(
@@ -82,7 +87,7 @@ def _stored_table(spark, sf, name):
     stored, _ = s.stored_and_fresh(spark, sf)
     path = scratch_path(spark, name)
     day_of = F.date_format("ts", "yyyy-MM-dd")
-    stored.select("ts", "a", day_of.alias("part")).hint("rebalance", "part").write.partitionBy("part").parquet(path)
+    merge.merge_into_parquet(spark, path, stored.select("ts", "a", day_of.alias("part")), ["ts"], merge.UPSERT, "part")
     return path
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SHARED: dict[str, str] = {}
 
@@ -67,3 +68,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def spread_writers(df: DataFrame, partition: str, keys: list[str], writers: int = 8) -> DataFrame:
+    """Bring the rows of each table partition to a few writers.
+
+    With adaptive execution the rebalance hint splits and merges by measured size. Stateful
+    streams run without it; there every partition value is salted over a fixed number of
+    writers, so a value that holds most rows never goes to one task.
+    """
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", partition)
+    salt = F.pmod(F.xxhash64(*keys), F.lit(writers))
+    return df.repartition(F.col(partition), salt)

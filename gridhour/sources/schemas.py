@@ -53,7 +53,7 @@ WEATHER_RUN = "ts TIMESTAMP, run_date DATE, t2m_mean DOUBLE, d2m_mean DOUBLE, wi
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """Cast to a declared schema; columns that are absent become NULL, extra ones stay."""
-    declared = T._parse_datatype_string(ddl)
+    declared = T.StructType.fromDDL(ddl)
     known = [
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared
     ]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridhour.functions import labels
 from gridhour.functions.clock import month_floor
 from gridhour.registry import AUDIT_COLUMNS, SOURCE_ZONES, TableSpec
+from gridhour.session import spread_writers
 
 log = logging.getLogger(__name__)
 
@@ -69,7 +70,7 @@ def write_hourly(df: DataFrame, path: str, ts: str) -> None:
     """
     monthly = df.withColumn("month", F.date_format(month_floor(F.col(ts)), "yyyy-MM"))
     (
-        monthly.hint("rebalance", "month")
+        spread_writers(monthly, "month", [ts])
         .sortWithinPartitions("month", ts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

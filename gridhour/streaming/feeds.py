@@ -66,7 +66,8 @@ def closed_days(readings: DataFrame, ts: str, series: str, tz: str = clock.MADRI
 
 def start_versions(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Write every batch below ``path/batch=N``. A repeated batch replaces itself, and
-    :func:`latest` reads the newest row per key."""
+    :func:`latest` reads the newest row per key. Meant for append streams; long-running
+    updates belong into :func:`start_merge`."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -89,20 +90,22 @@ def start_merge(
     partition: str = "month",
     tol: float = 0.0,
     last_days: int | None = None,
+    mode: str = "append",
 ) -> StreamingQuery:
     """Merge each batch into a parquet table partitioned by month.
 
-    With ``fill_null`` this is the review of late data; with ``overwrite_different`` the
+    An aggregated stream in ``update`` mode with ``upsert`` keeps the table at the newest
+    value of each key; it never grows beyond its keys. With ``fill_null`` this is the review of late data; with ``overwrite_different`` the
     re-reading of days that the source revises after publication; ``last_days`` then limits
     each batch to its most recent days.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch if last_days is None else recent_days(batch, keys[0], last_days)
-        once = dedupe.keep_last(batch, keys, order).drop(*[c for c in order if c not in keys])
+        once = dedupe.keep_last(batch, keys, order).drop(*[c for c in order if c not in keys]) if order else batch
         merge.merge_into_parquet(batch.sparkSession, path, once, keys, policy, partition, tol)
 
-    return _run(stream, write, checkpoint, "append")
+    return _run(stream, write, checkpoint, mode)
 
 
 def recent_days(readings: DataFrame, ts: str, days: int = 3) -> DataFrame:
