@@ -242,15 +242,16 @@ def trades_to_bars(spark, sf):
 @query(
     "continuous_futures",
     "C08 W08 M07 J14",
-    f"""WITH {s.BARS}, el AS (SELECT *, CASE WHEN commodity = 'EUA' THEN month(delivery) = 12 AND year(delivery) >= year(fecha) ELSE delivery > date_trunc('month', fecha) END AS ok FROM bars),
+    f"""WITH {s.BARS}, {s.DAILY_PRICE}, el AS (SELECT *, CASE WHEN commodity = 'EUA' THEN month(delivery) = 12 AND year(delivery) >= year(fecha) ELSE delivery > date_trunc('month', fecha) END AS ok FROM bars),
  front AS (SELECT commodity, fecha, arg_min(cierre, delivery) AS p FROM el WHERE ok GROUP BY 1, 2),
- d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + {s.SHIFT_DAYS} AS fecha FROM orders WHERE o_orderkey % 3 = 0)
+ d AS (SELECT fecha + {s.SHIFT_DAYS} AS fecha FROM daily_price WHERE v IS NOT NULL)
  SELECT {day('d.fecha')} AS fecha, {num('coalesce(e.p, -1)')} AS co2_eua_dec, {num('t.p')} AS gas_ttf_m1 FROM d
  LEFT JOIN front e ON e.fecha = d.fecha AND e.commodity = 'EUA' LEFT JOIN front t ON t.fecha = d.fecha AND t.commodity = 'TTF'""",
 )
 def continuous_futures(spark, sf):
-    o = table(spark, sf, "orders").where(F.col("o_orderkey") % 3 == 0)
-    days = o.select(F.date_add(F.col("o_orderdate").cast("date"), s.SHIFT_DAYS).alias("fecha")).distinct()
+    """The commodity table lacks the days without a low price, so some of the series is orphaned."""
+    known = s.daily_price(spark, sf).where(F.col("v").isNotNull())
+    days = known.select(F.date_add("fecha", s.SHIFT_DAYS).alias("fecha"))
     stored = days.withColumns({"co2_eua_dec": F.lit(-1.0), "gas_ttf_m1": F.lit(None).cast("double")})
     return feeds.continuous_futures(s.bars(spark, sf), stored)
 
@@ -263,12 +264,12 @@ def _column_readings(spark, sf, columns):
     r = s.readings(spark, sf)
     names = F.array(*[F.lit(c) for c in columns])
     slot = (F.col("user_id") % len(columns) + 1).cast("int")
-    return r.select("ts", F.element_at(names, slot).alias("column_name"), "value", "source")
+    return r.select("ts", F.element_at(names, slot).alias("column_name"), "value", "source", "qty")
 
 
 def _column_readings_sql(columns) -> str:
     names = "[" + ", ".join(f"'{c}'" for c in columns) + "]"
-    return f"{s.READINGS}, cr AS (SELECT date_trunc('hour', ts) AS ts, {names}[1 + user_id % {len(columns)}] AS c, value, source FROM readings)"
+    return f"{s.READINGS}, cr AS (SELECT date_trunc('hour', ts) AS ts, {names}[1 + user_id % {len(columns)}] AS c, value, source, qty FROM readings)"
 
 
 def _wide_sql(name: str, source: str, columns, summed) -> str:
@@ -356,14 +357,14 @@ _CC = ["hydro_mw", "pump_mw", "nuclear_mw", "coal_antracita_mw", "coal_subbitumi
 @query(
     "capacity_daily",
     "C13 A34 M05 P14",
-    f"""WITH {_column_readings_sql(_CC)}, d AS (SELECT CAST(ts AS DATE) AS date, c, round(avg(value) + 1e-9, 2) AS v FROM cr WHERE source = 0 GROUP BY 1, 2),
+    f"""WITH {_column_readings_sql(_CC)}, d AS (SELECT CAST(ts AS DATE) AS date, c, round(avg(value) + 1e-9, 2) AS v FROM cr WHERE qty >= 20 GROUP BY 1, 2), days AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM cr),
  w AS (SELECT date, {', '.join(f"max(v) FILTER (WHERE c = '{c}') AS {c}" for c in _CC)} FROM d GROUP BY 1)
  SELECT {day('date')} AS date, {', '.join(f'{num(c)} AS {c}' for c in reg.CAPACITY_COLUMNS if c != 'coal_mw')},
- {num('CASE WHEN coalesce(coal_antracita_mw, coal_subbituminosa_mw) IS NOT NULL THEN coalesce(coal_antracita_mw, 0) + coalesce(coal_subbituminosa_mw, 0) ELSE -5 END')} AS coal_mw FROM w""",
+ {num('CASE WHEN coalesce(coal_antracita_mw, coal_subbituminosa_mw) IS NOT NULL THEN coalesce(coal_antracita_mw, 0) + coalesce(coal_subbituminosa_mw, 0) ELSE -5 END')} AS coal_mw FROM days LEFT JOIN w USING (date)""",
 )
 def capacity_daily(spark, sf):
     r = _column_readings(spark, sf, _CC)
-    geo = F.when(F.col("source") == 0, reg.PENINSULA_GEO_ID).otherwise(3)
+    geo = F.when(F.col("qty") >= 20, reg.PENINSULA_GEO_ID).otherwise(3)
     readings = r.select(F.to_date("ts").alias("day"), "column_name", (F.col("value") + 1e-9).alias("value"), geo.alias("geo_id"))
     stored = readings.select(F.col("day").alias("date")).distinct()
     stored = stored.select("date", *[F.lit(-5.0 if c == "coal_mw" else None).cast("double").alias(c) for c in reg.CAPACITY_COLUMNS])
@@ -390,7 +391,7 @@ def capacity_monthly(spark, sf):
     "capacity_snapshot",
     "C12 J11 J12 M04",
     f"""WITH {s.READINGS}, d AS (SELECT CAST(ts AS DATE) AS run, CAST(ts AS DATE) + CAST(user_id % 8 AS INTEGER) AS target, series, round(avg(value) + 1e-9, 2) AS v
- FROM readings WHERE user_id % 5 <> 0 GROUP BY 1, 2, 3),
+ FROM readings WHERE qty >= 20 GROUP BY 1, 2, 3),
  w AS (SELECT run, target, max(v) FILTER (WHERE series = 'view') AS n, max(v) FILTER (WHERE series = 'click') AS c FROM d WHERE series IN ('view', 'click') GROUP BY 1, 2)
  SELECT {day('a.target')} AS target_date, {num('a.n')} AS known_nuclear_mw, {num('a.c')} AS known_ccgt_mw, {num('a.n - b.n')} AS revision_nuclear_mw, {num('a.c - b.c')} AS revision_ccgt_mw
  FROM w a LEFT JOIN w b ON b.target = a.target AND b.run = a.run - 6 WHERE a.run = a.target - 1""",
@@ -398,7 +399,7 @@ def capacity_monthly(spark, sf):
 def capacity_snapshot(spark, sf):
     r = s.readings(spark, sf)
     name = F.when(F.col("series") == "view", "nuclear_mw").when(F.col("series") == "click", "ccgt_mw").otherwise("unused_mw")
-    geo = F.when(F.col("user_id") % 5 == 0, 3).when(F.col("user_id") % 5 == 1, reg.PENINSULA_GEO_ID)
+    geo = F.when(F.col("qty") < 20, 3).when(F.col("qty") < 60, reg.PENINSULA_GEO_ID)
     run = F.to_date("ts")
     readings = r.select(
         run.alias("run_date"), F.date_add(run, (F.col("user_id") % 8).cast("int")).alias("target_date"),
@@ -412,7 +413,8 @@ def capacity_snapshot(spark, sf):
     "commodities_load",
     "C17 S10 S17 W05 M01 M02",
     f"""WITH {s.DAILY_PRICE}, st AS (SELECT fecha, CASE WHEN day(fecha) % 2 = 0 THEN 1.0 END AS gas_ttf FROM daily_price WHERE year(fecha) < 2000),
- co AS (SELECT fecha, round(v / 1000 + 1e-9, 4) AS c, coalesce(lead(fecha) OVER (ORDER BY fecha) - 1, DATE '2001-09-30') AS last FROM daily_price WHERE v IS NOT NULL AND day(fecha) = 1),
+ mf AS (SELECT min(fecha) AS fecha, arg_min(v, fecha) AS v FROM daily_price WHERE v IS NOT NULL GROUP BY date_trunc('month', fecha)),
+ co AS (SELECT fecha, round(v / 1000 + 1e-9, 4) AS c, coalesce(lead(fecha) OVER (ORDER BY fecha) - 1, DATE '2001-09-30') AS last FROM mf),
  cx AS (SELECT CAST(unnest(generate_series(CAST(fecha AS TIMESTAMP), CAST(last AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS fecha, c FROM co),
  fresh AS (SELECT fecha, v AS gas_ttf, w AS gas_mibgas FROM daily_price WHERE v IS NOT NULL OR w IS NOT NULL)
  SELECT {day('fecha')} AS fecha, {num('coalesce(st.gas_ttf, fresh.gas_ttf)')} AS gas_ttf, {num('fresh.gas_mibgas')} AS gas_mibgas, {num('cx.c')} AS co2_ets
@@ -421,7 +423,7 @@ def capacity_snapshot(spark, sf):
 def commodities_load(spark, sf):
     d = s.daily_price(spark, sf)
     stored = d.where(F.year("fecha") < 2000).select("fecha", F.when(F.dayofmonth("fecha") % 2 == 0, 1.0).alias("gas_ttf"))
-    co2 = d.where(F.col("v").isNotNull() & (F.dayofmonth("fecha") == 1)).select("fecha", (F.col("v") / 1000 + 1e-9).alias("co2_ets"))
+    co2 = s.monthly_first(spark, sf).select("fecha", (F.col("v") / 1000 + 1e-9).alias("co2_ets"))
     close = d.where(F.col("v").isNotNull()).select("fecha", F.col("v").alias("gas_ttf"))
     gas = d.select("fecha", F.col("w").alias("gas_mibgas"))
     return feeds.commodities_load(stored, [close], gas, co2, F.lit("2001-09-30").cast("date"))

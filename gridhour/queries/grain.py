@@ -144,14 +144,13 @@ _CODES = {"renewable": ["view", "click"], "thermal": ["error"], "absent": ["sign
 @query(
     "multi_code_mapping",
     "P03",
-    f"""WITH {s.READINGS}, h AS (SELECT series, date_trunc('hour', ts) AS ts, avg(value) AS value FROM readings WHERE qty > 20 GROUP BY 1, 2)
+    f"""WITH {s.READINGS}, h AS (SELECT series, date_trunc('hour', ts) AS ts, avg(value) AS value FROM readings GROUP BY 1, 2)
  SELECT {stamp('ts')} AS ts, {num("sum(value) FILTER (WHERE series IN ('view', 'click'))")} AS renewable,
  {num("sum(value) FILTER (WHERE series = 'error')")} AS thermal, CAST(NULL AS DOUBLE) AS absent
  FROM h WHERE series IN ('view', 'click', 'error') GROUP BY ts""",
 )
 def multi_code_mapping(spark, sf):
-    r = s.readings(spark, sf).where(F.col("qty") > 20)
-    hourly = resample.to_hour(r, "ts", {"value": "avg"}, ("series",))
+    hourly = resample.to_hour(s.readings(spark, sf), "ts", {"value": "avg"}, ("series",))
     return resample.map_codes(hourly, ["ts"], "series", "value", _CODES)
 
 
@@ -285,13 +284,12 @@ def ffill_by_series(spark, sf):
 @query(
     "step_expand_days",
     "W05",
-    f"""WITH {s.DAILY_PRICE}, f AS (SELECT fecha, v FROM daily_price WHERE v IS NOT NULL AND day(fecha) % 9 = 1),
+    f"""WITH {s.DAILY_PRICE}, f AS (SELECT min(fecha) AS fecha, arg_min(v, fecha) AS v FROM daily_price WHERE v IS NOT NULL GROUP BY date_trunc('month', fecha)),
  n AS (SELECT fecha, v, coalesce(lead(fecha) OVER (ORDER BY fecha) - 1, DATE '2001-12-31') AS last FROM f)
  SELECT {day("unnest(generate_series(CAST(fecha AS TIMESTAMP), CAST(last AS TIMESTAMP), INTERVAL 1 DAY))")} AS fecha, {num('v')} AS v FROM n""",
 )
 def step_expand_days(spark, sf):
-    sparse = s.daily_price(spark, sf).where(F.col("v").isNotNull() & (F.dayofmonth("fecha") % 9 == 1)).select("fecha", "v")
-    return align.expand_steps(sparse, "fecha", F.lit("2001-12-31").cast("date"))
+    return align.expand_steps(s.monthly_first(spark, sf), "fecha", F.lit("2001-12-31").cast("date"))
 
 
 @query(

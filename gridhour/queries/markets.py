@@ -227,11 +227,12 @@ def cell_channels(spark, sf):
 @query(
     "iso_json_flatten",
     "S08 F01 P14",
-    f"""WITH {s.READINGS} SELECT {stamp('ts')} AS ts, {num('value')} AS value, {big('CASE WHEN event_id % 3 = 0 THEN 8741 END')} AS geo_id,
- {big('event_id')} AS indicator_id FROM readings WHERE qty > 4 AND event_id % 3 <> 1""",
+    f"""WITH {s.READINGS} SELECT {stamp('ts')} AS ts, {num('value')} AS value, {big("CASE WHEN series = 'view' THEN 8741 END")} AS geo_id,
+ {big('event_id')} AS indicator_id FROM readings WHERE qty > 4 AND series <> 'click'""",
 )
 def iso_json_flatten(spark, sf):
-    """Documents are written as JSON text from the readings, then parsed back."""
+    """Documents are written as JSON text from the readings, then parsed back. One series is
+    peninsular, one belongs to another system, the others have no geography."""
     r = s.readings(spark, sf)
     text = F.to_json(
         F.struct(
@@ -241,7 +242,7 @@ def iso_json_flatten(spark, sf):
                     F.struct(
                         F.concat(F.date_format(clock.local_ts(F.col("ts")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00")).alias("datetime"),
                         F.when(F.col("qty") > 4, F.col("value")).alias("value"),
-                        F.when(F.col("event_id") % 3 == 0, 8741).when(F.col("event_id") % 3 == 1, 3).cast("bigint").alias("geo_id"),
+                        F.when(F.col("series") == "view", 8741).when(F.col("series") == "click", 3).cast("bigint").alias("geo_id"),
                     )
                 ).alias("values"),
             ).alias("indicator")
@@ -267,35 +268,33 @@ def geo_kinds(spark, sf):
 @query(
     "regions_wide",
     "A09 A33 Q14",
-    f"""WITH d AS (SELECT CAST(ts AS DATE) AS d, avg(value) FILTER (WHERE event_type = 'view' AND user_id < 60) AS "view",
- avg(value) FILTER (WHERE event_type = 'click' AND user_id < 60) AS click FROM events GROUP BY 1)
- SELECT {day('d')} AS day, {num('"view"')} AS "view", {num('click')} AS click, {num('coalesce("view", 0) + coalesce(click, 0)')} AS regions_total FROM d
- WHERE d IN (SELECT CAST(ts AS DATE) FROM events WHERE user_id < 60)""",
+    f"""WITH d AS (SELECT CAST(ts AS DATE) AS d, avg(value) FILTER (WHERE event_type = 'view') AS "view",
+ avg(value) FILTER (WHERE event_type = 'click') AS click FROM events GROUP BY 1)
+ SELECT {day('d')} AS day, {num('"view"')} AS "view", {num('click')} AS click, {num('coalesce("view", 0) + coalesce(click, 0)')} AS regions_total FROM d""",
 )
 def regions_wide(spark, sf):
-    r = s.readings(spark, sf).where(F.col("user_id") < 60)
-    named = r.select(F.to_date("ts").alias("day"), F.col("series").alias("geo_name"), "value")
+    named = s.readings(spark, sf).select(F.to_date("ts").alias("day"), F.col("series").alias("geo_name"), "value")
     return indicators.regions_wide(named, "day", ["view", "click"])
 
 
 @query(
     "parse_market_numbers",
     "F10",
-    f"""SELECT {big('o_orderkey')} AS k, CASE WHEN o_orderkey % 7 IN (0, 1) THEN NULL ELSE {num('o_totalprice')} END AS parsed FROM orders""",
+    f"""SELECT {big('o_orderkey')} AS k, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN NULL ELSE {num('o_totalprice')} END AS parsed FROM orders""",
 )
 def parse_market_numbers(spark, sf):
     """Prices are written with Spanish or English separators, or spoiled, then parsed back."""
     o = table(spark, sf, "orders")
-    k = F.col("o_orderkey")
+    kind = F.col("o_orderpriority")
     english = F.format_number("o_totalprice", 2)
     spanish = F.translate(english, ",.", ".,")
     text = (
-        F.when(k % 7 == 0, F.concat(english, F.lit(" EUR")))
-        .when(k % 7 == 1, F.lit("  "))
-        .when(k % 7 == 2, F.concat(F.lit(" "), F.translate(spanish, ".", "")))
+        F.when(kind == "1-URGENT", F.concat(english, F.lit(" EUR")))
+        .when(kind == "2-HIGH", F.lit("  "))
+        .when(kind == "3-MEDIUM", F.concat(F.lit(" "), F.translate(spanish, ".", "")))
         .otherwise(spanish)
     )
-    return o.select(k.alias("k"), number_from_text(text).alias("parsed"))
+    return o.select(F.col("o_orderkey").alias("k"), number_from_text(text).alias("parsed"))
 
 
 @query(
@@ -316,18 +315,19 @@ def epoch_unit_detect(spark, sf):
     "S11 P10 F26 F09",
     f"""WITH {s.READINGS} SELECT CAST(event_id AS VARCHAR) AS trade_id, {stamp('ts')} AS deal_date, {num('round(value, 3)')} AS precio,
  {big('CASE WHEN qty > 30 THEN qty ELSE 0 END')} AS cantidad, CASE WHEN user_id % 3 = 0 THEN true ELSE false END AS agresor_compra
- FROM readings WHERE event_id % 11 NOT IN (0, 1) AND value <= 200""",
+ FROM readings WHERE qty >= 20 AND value <= 200""",
 )
 def clean_trades(spark, sf):
     return trades.clean(_raw_trades(spark, sf)).drop("venue")
 
 
 def _raw_trades(spark, sf):
-    """Raw trades with missing ids, unreadable prices and prices out of range."""
-    k = F.col("event_id") % 11
-    price = F.when(k == 1, "n/a").when(F.col("value") > 200, "9999").otherwise(F.col("value").cast("string"))
+    """Raw trades; small quantities have no id or an unreadable price, high prices are out of
+    range."""
+    qty = F.col("qty")
+    price = F.when(qty.between(10, 19), "n/a").when(F.col("value") > 200, "9999").otherwise(F.col("value").cast("string"))
     return s.readings(spark, sf).select(
-        F.when(k != 0, F.col("event_id").cast("string")).alias("tradeId"),
+        F.when(qty >= 10, F.col("event_id").cast("string")).alias("tradeId"),
         F.lit("X").alias("venueCode"),
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("double").alias("dealDate"),
         price.alias("price"),
@@ -339,8 +339,8 @@ def _raw_trades(spark, sf):
 @query(
     "clean_trades_counts",
     "S11",
-    f"""WITH {s.READINGS} SELECT {big('count(*) FILTER (WHERE event_id % 11 NOT IN (0, 1) AND value <= 200)')} AS n_kept,
- {big('count(*) FILTER (WHERE NOT (event_id % 11 NOT IN (0, 1) AND value <= 200))')} AS n_rejected FROM readings""",
+    f"""WITH {s.READINGS} SELECT {big('count(*) FILTER (WHERE qty >= 20 AND value <= 200)')} AS n_kept,
+ {big('count(*) FILTER (WHERE NOT (qty >= 20 AND value <= 200))')} AS n_rejected FROM readings""",
 )
 def clean_trades_counts(spark, sf):
     return trades.clean_counts(_raw_trades(spark, sf))
@@ -349,16 +349,16 @@ def clean_trades_counts(spark, sf):
 @query(
     "gas_index_sheet",
     "S10 F20 W12",
-    f"""WITH r AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, o_totalprice / 1000 AS p FROM orders WHERE o_orderkey % 5 NOT IN (0, 1))
+    f"""WITH r AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, o_totalprice / 1000 AS p FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH'))
  SELECT {day('d')} AS fecha, {num('round(p, 3)')} AS gas_mibgas FROM r QUALIFY row_number() OVER (PARTITION BY d ORDER BY k) = 1""",
 )
 def gas_index_sheet(spark, sf):
     o = table(spark, sf, "orders")
-    k = F.col("o_orderkey") % 5
+    kind = F.col("o_orderpriority")
     sheet = o.select(
-        F.when(k == 0, "not a day").when(k == 2, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("Delivery day"),
+        F.when(kind == "1-URGENT", "not a day").when(kind == "3-MEDIUM", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("Delivery day"),
         F.lit("1").alias("MIBGAS LNG Index"),
-        F.when(k == 1, "-").otherwise((F.col("o_totalprice") / 1000).cast("string")).alias("MIBGAS Index [EUR/MWh]"),
+        F.when(kind == "2-HIGH", "-").otherwise((F.col("o_totalprice") / 1000).cast("string")).alias("MIBGAS Index [EUR/MWh]"),
         "o_orderkey",
     )
     return gas_index.clean(sheet, ["o_orderkey"])

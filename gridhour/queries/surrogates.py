@@ -217,6 +217,13 @@ DAILY_PRICE = """daily_price AS (SELECT CAST(o_orderdate AS DATE) AS fecha,
  CASE WHEN min(o_totalprice) > 20000 THEN min(o_totalprice) END AS v, max(o_totalprice) AS w FROM orders GROUP BY 1)"""
 
 
+def monthly_first(spark: SparkSession, sf: str) -> DataFrame:
+    """First known value of each month: a monthly series on irregular days."""
+    known = daily_price(spark, sf).where(F.col("v").isNotNull())
+    first = known.groupBy(F.trunc("fecha", "month")).agg(F.min("fecha").alias("fecha"), F.min_by("v", "fecha").alias("v"))
+    return first.select("fecha", "v")
+
+
 def stored_and_fresh(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Two versions of an hourly table: even users stored it, odd users republished it.
 

@@ -96,12 +96,13 @@ def four_way_sources(spark, sf):
 @query(
     "outer_join_blocks",
     "J09 J10",
-    f"""WITH a AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS x FROM events WHERE event_type = 'view' AND user_id < 20 GROUP BY 1),
- b AS (SELECT CAST(ts AS DATE) + 1 AS d, max(value) AS y FROM events WHERE event_type = 'click' AND user_id < 20 GROUP BY 1)
+    f"""WITH a AS (SELECT CAST(ts AS DATE) AS d, avg(value) AS x FROM events WHERE event_type = 'view' AND value > 150 GROUP BY 1),
+ b AS (SELECT CAST(ts AS DATE) + 1 AS d, max(value) AS y FROM events WHERE event_type = 'click' AND value > 150 GROUP BY 1)
  SELECT {day('d')} AS fecha, {num('x')} AS x, {num('y')} AS y FROM a FULL JOIN b USING (d)""",
 )
 def outer_join_blocks(spark, sf):
-    e = table(spark, sf, "events").where(F.col("user_id") < 20)
+    """Days with high prices in one series or, a day later, in the other."""
+    e = table(spark, sf, "events").where(F.col("value") > 150)
     a = e.where(F.col("event_type") == "view").groupBy(F.to_date("ts").alias("fecha")).agg(F.avg("value").alias("x"))
     b = e.where(F.col("event_type") == "click").groupBy(F.date_add(F.to_date("ts"), 1).alias("fecha")).agg(F.max("value").alias("y"))
     return joins.outer_blocks([a, b], "fecha")
