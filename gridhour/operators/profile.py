@@ -108,16 +108,22 @@ def quantile_columns(df: DataFrame, value: str, named: dict[str, float], by: tup
 
 def describe(df: DataFrame, cols: list[str], percentiles: dict[str, float], ids: tuple[str, ...] = ()) -> DataFrame:
     """Count, mean, deviation, extremes and exact percentiles per column."""
-    long = to_long(df, cols, list(ids))
     by = [*ids, "column_name"]
-    basic = long.groupBy(*by).agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    return basic.join(quantile_columns(long, "value", percentiles, tuple(by)), by, "left")
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.count(c).alias("n"),
+            F.avg(c).alias("mean"),
+            F.stddev_samp(c).alias("std"),
+            F.min(F.col(c).cast("double")).alias("min"),
+            F.max(F.col(c).cast("double")).alias("max"),
+        )
+        for c in cols
+    ]
+    # The moments come from one wide pass; only the quantiles need the long form.
+    basic = df.groupBy(*ids).agg(F.array(*cells).alias("cells")).select(*ids, F.explode("cells").alias("x"))
+    basic = basic.select(*ids, "x.*")
+    return basic.join(quantile_columns(to_long(df, cols, list(ids)), "value", percentiles, tuple(by)), by, "left")
 
 
 def iqr_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
