@@ -84,3 +84,12 @@ def local_day_bounds(day: date, tz: str = MADRID) -> tuple[datetime, datetime]:
         start.astimezone(timezone.utc).replace(tzinfo=None),
         end.astimezone(timezone.utc).replace(tzinfo=None),
     )
+
+
+def arrival_rank(ts: Column, tie: Column) -> Column:
+    """One number that orders rows by instant and, at equal instants, by a fixed hash of the
+    id. As a plain decimal it fits the buffer of a hash aggregate; a struct would force every
+    group to be sorted."""
+    micros = F.unix_micros(ts).cast("decimal(18,0)")
+    spread = F.lit("1" + "0" * 19).cast("decimal(20,0)")
+    return micros * spread + F.shiftrightunsigned(F.xxhash64(tie), 1).cast("decimal(19,0)")

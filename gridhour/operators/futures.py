@@ -12,12 +12,12 @@ from gridhour.functions.numbers import half_up
 def daily_bars(trades: DataFrame, tz: str = clock.MADRID, group: tuple[str, ...] = ("commodity", "periodo")) -> DataFrame:
     """OHLC, VWAP, volume, trade count and share of buyer-initiated trades per local day.
 
-    Quantity counts at least 1. Open and close follow (deal_date, trade_id), so equal
-    instants give the same bar on every run. All measures merge partially, so one busy
-    contract is reduced inside the map tasks.
+    Quantity counts at least 1. Open and close follow the instant and then a fixed hash of the
+    trade id, so equal instants give the same bar on every run. All measures merge partially
+    in hash aggregates, so one busy contract is reduced inside the map tasks.
     """
     qty = F.greatest(F.col("cantidad"), F.lit(1))
-    order = F.struct("deal_date", "trade_id")
+    order = clock.arrival_rank(F.col("deal_date"), F.col("trade_id"))
     day = clock.local_date(F.col("deal_date"), tz).alias("fecha")
     return trades.groupBy(day, *group).agg(
         F.min("item_id").alias("item_id"),

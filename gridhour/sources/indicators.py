@@ -23,8 +23,10 @@ def parse_documents(df: DataFrame, text: str) -> DataFrame:
 def flatten(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per value: UTC instant, value, geography. NULL values are dropped."""
     keep = keep or []
+    # The outer form on purpose: for a plain explode Spark adds a size filter below it, which
+    # parses every document a second time. Empty documents fall out with the NULL values.
     rows = documents.select(
-        *keep, F.col("indicator.id").alias("indicator_id"), F.explode("indicator.values").alias("v")
+        *keep, F.col("indicator.id").alias("indicator_id"), F.explode_outer("indicator.values").alias("v")
     )
     when = clock.instant(F.coalesce("v.datetime_utc", "v.datetime"))
     return rows.select(
