@@ -47,10 +47,6 @@ def any_of(conds: list[Column]) -> Column:
 # Rules over many columns are SQL text: one parsed expression instead of a chain of calls.
 
 
-def any_null(cols: list[str]) -> Column:
-    return F.expr(" OR ".join(f"`{c}` IS NULL" for c in cols))
-
-
 def none_null(cols: list[str]) -> Column:
     return F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in cols))
 

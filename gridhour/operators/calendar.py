@@ -47,14 +47,6 @@ def day_calendar(bounds: DataFrame, name: str = "day") -> DataFrame:
     return bounds.select(F.explode(F.sequence("start", "end")).alias(name))
 
 
-def whole_days(bounds: DataFrame, tz: str = clock.MADRID) -> DataFrame:
-    """Local days of an hour range with their length in hours."""
-    days = bounds.select(
-        F.explode(F.sequence(clock.local_date(F.col("start"), tz), clock.local_date(F.col("end"), tz))).alias("day")
-    )
-    return days.withColumn("n_expected", clock.day_length(F.col("day"), tz))
-
-
 def expected_hours(days: DataFrame, day: str = "day", tz: str = clock.MADRID) -> DataFrame:
     """One row per expected hour of each local day; other columns are kept."""
     return days.withColumn("ts", F.explode(clock.day_hours(F.col(day), tz)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridhour.functions import clock
 from gridhour.functions.numbers import add_all, all_of, none_null, percent, sum_null_as_zero
 from gridhour.operators import calendar, joins, profile
+from gridhour.registry import CO2_REFERENCE
 
 
 def days_with_hours(df: DataFrame, ts: str, cols: list[str], keys: tuple[str, ...] = (), tz: str = clock.MADRID) -> DataFrame:
@@ -174,7 +175,7 @@ def range_overlap(a: DataFrame, b: DataFrame, ts: str) -> DataFrame:
     ).withColumn("overlap", F.coalesce(F.col("a_last") >= F.col("b_first"), F.lit(False)))
 
 
-def against_reference(yearly: DataFrame, year: str, value: str, reference: dict[int, float]) -> DataFrame:
+def against_reference(yearly: DataFrame, year: str, value: str, reference: dict[int, float] = CO2_REFERENCE) -> DataFrame:
     """Yearly means against known reference levels, in percent."""
     ref = F.lit(None).cast("double")
     for y, level in reference.items():

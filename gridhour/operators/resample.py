@@ -132,10 +132,5 @@ def sparse_to_wide(df: DataFrame, keys: list[str], name: str, value: str, names:
     return df.where(F.col(name).isin(*names)).groupBy(*keys).agg(*[cell(n) for n in names])
 
 
-def split_by_unit(columns: list[str], summed: set[str]) -> dict[str, str]:
-    """Aggregate per column from a unit registry."""
-    return {c: ("sum" if c in summed else "avg") for c in columns}
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridhour.functions import clock, energy
+from gridhour.registry import GRID_CHANNELS
 
 
 def crop(df: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
@@ -40,10 +41,10 @@ def spatial_mean(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.avg(c).alias(f"{c}_mean") for c in cols])
 
 
-def cell_channels(df: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
+def cell_channels(df: DataFrame, keys: list[str], order: tuple[str, ...] = GRID_CHANNELS) -> DataFrame:
     """One float vector per cell with channels in a fixed order."""
     present = set(df.columns)
-    return df.select(*keys, energy.channels(order, present).alias("channels"))
+    return df.select(*keys, energy.channels(list(order), present).alias("channels"))
 
 
 def position_in_month(df: DataFrame, ts: str) -> DataFrame:

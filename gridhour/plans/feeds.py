@@ -46,6 +46,36 @@ def spot_price_load(stored: DataFrame, files: DataFrame, readings: DataFrame, zo
     return merge.merge_frames(stored, fresh, ["ts"], merge.UPSERT)
 
 
+def price_quality(prices: DataFrame) -> DataFrame:
+    """Day verdict of the price table: the prices of the own zone must be whole, the others
+    are context."""
+    cols = [c for c in prices.columns if c != "ts"]
+    critical = {c: 0 for c in reg.CRITICAL_PRICES if c in cols}
+    return quality.policy_status(prices, "ts", cols, critical, {c for c in cols if c not in critical})
+
+
+# Generation -----------------------------------------------------------------------------
+
+
+def generation_frame(readings: DataFrame, codes: dict[str, list[str]] = reg.GENERATION_CODES) -> DataFrame:
+    """Sub-hour (ts, code, value) readings to hourly power per canonical column: codes add up
+    first, then the hour averages."""
+    wide = resample.map_codes(readings, ["ts"], "code", "value", codes)
+    hourly = resample.to_hour(wide, "ts", {c: "avg" for c in codes})
+    return hourly.select("ts", *[half_up(F.col(c), 2).alias(c) for c in codes])
+
+
+def generation_load(stored: DataFrame, readings: DataFrame, codes: dict[str, list[str]] = reg.GENERATION_CODES) -> DataFrame:
+    """Generation table after a load: new hours inserted, gaps of stored hours filled."""
+    return merge.merge_frames(stored, generation_frame(readings, codes), ["ts"], merge.FILL_NULL)
+
+
+def generation_quality(generation: DataFrame) -> DataFrame:
+    cols = [c for c in reg.GENERATION_CODES if c in generation.columns]
+    policy = reg.GENERATION_POLICY
+    return quality.policy_status(generation, "ts", cols, dict(policy.critical), set(policy.sporadic))
+
+
 # Load and interconnection ---------------------------------------------------------------
 
 

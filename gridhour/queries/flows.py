@@ -277,6 +277,31 @@ def _wide_sql(name: str, source: str, columns, summed) -> str:
     return f"{name} AS (SELECT ts, {cells} FROM {source} GROUP BY ts)"
 
 
+_GEN_CODES = {"solar_mw": ["view"], "wind_mw": ["click", "error"], "nuclear_mw": ["absent"]}
+_MW = {"solar_mw": "series = 'view'", "wind_mw": "series IN ('click', 'error')", "nuclear_mw": "false"}
+
+
+@query(
+    "generation_load",
+    "P03 P04 A01 M02 R3",
+    f"""WITH {s.READINGS}, q AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, series, avg(value) AS value FROM readings GROUP BY 1, 2),
+ w AS (SELECT ts, {', '.join(f'sum(value) FILTER (WHERE {c}) AS {n}' for n, c in _MW.items())} FROM q WHERE series IN ('view', 'click', 'error') GROUP BY ts),
+ h AS (SELECT date_trunc('hour', ts) AS ts, {', '.join(f'round(avg({n}) + 1e-9, 2) AS {n}' for n in _MW)} FROM w GROUP BY 1),
+ st AS (SELECT date_trunc('hour', ts) AS ts, max(value) FILTER (WHERE series = 'view') AS solar_mw FROM readings WHERE source = 0 GROUP BY 1)
+ SELECT {stamp('ts')} AS ts, {num('coalesce(st.solar_mw, h.solar_mw)')} AS solar_mw, {num('wind_mw')} AS wind_mw, {num('nuclear_mw')} AS nuclear_mw FROM st FULL JOIN h USING (ts)""",
+)
+def generation_load(spark, sf):
+    """Quarter-hour readings by source code into a stored table that has gaps."""
+    r = s.readings(spark, sf)
+    quarter = F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 900) * 900)
+    quarters = r.groupBy(quarter.alias("ts"), F.col("series").alias("code")).agg(F.avg("value").alias("value"))
+    nudged = quarters.withColumn("value", F.col("value") + 1e-9)
+    stored = r.where(F.col("source") == 0).groupBy(clock.hour_floor(F.col("ts")).alias("ts")).agg(
+        F.max(F.when(F.col("series") == "view", F.col("value"))).alias("solar_mw")
+    )
+    return feeds.generation_load(stored, nudged, _GEN_CODES)
+
+
 _LC = list(reg.LOAD_COLUMNS)
 
 

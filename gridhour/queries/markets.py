@@ -211,7 +211,7 @@ def forecast_grid_mean(spark, sf):
 )
 def cell_channels(spark, sf):
     r = s.readings(spark, sf).select("event_id", F.col("value").alias("t2m"), F.col("qty").alias("msl"))
-    c = weather.cell_channels(r, ["t2m", "d2m", "msl"], ["event_id"])
+    c = weather.cell_channels(r, ["event_id"], ("t2m", "d2m", "msl"))
     return c.select(
         "event_id",
         F.col("channels")[0].alias("c1"),

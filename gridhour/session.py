@@ -1,4 +1,4 @@
-"""Session helpers: one time zone, one shared folder, one way to cut lineage."""
+"""Session helpers: one time zone, one shared folder, evenly loaded writers."""
 
 from __future__ import annotations
 
@@ -62,14 +62,6 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def spread_writers(df: DataFrame, partition: str, keys: list[str], writers: int = 8) -> DataFrame:
     """Bring the rows of each table partition to a few writers.
 

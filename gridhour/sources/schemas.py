@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,3 +58,8 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared
     ]
     return df.select(*known, *[c for c in df.columns if c not in declared.names])
+
+
+def empty_table(spark: SparkSession, ddl: str) -> DataFrame:
+    """Stored table before its first load."""
+    return spark.createDataFrame([], T.StructType.fromDDL(ddl))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from gridhour.functions import labels
 from gridhour.functions.clock import month_floor
+from gridhour.functions.numbers import nan_to_null
 from gridhour.registry import AUDIT_COLUMNS, SOURCE_ZONES, TableSpec
 from gridhour.session import spread_writers
+from gridhour.sources.schemas import AUDIT, conform
 
 log = logging.getLogger(__name__)
 
@@ -19,7 +21,14 @@ log = logging.getLogger(__name__)
 def scan(spark: SparkSession, path: str, time_col: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """Parquet scan of the time column and the registered columns; all when none are given."""
     df = spark.read.parquet(path)
-    return df.select(time_col, *columns) if columns else df
+    return without_nan(df.select(time_col, *columns) if columns else df)
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """Missing values that other tools wrote as NaN become NULL, so that counts and merges
+    see them as missing."""
+    floats = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: nan_to_null(F.col(c)) for c in floats}) if floats else df
 
 
 def scan_all(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
@@ -27,7 +36,7 @@ def scan_all(spark: SparkSession, root: str, names: list[str]) -> dict[str, Data
     found = {}
     for name in names:
         try:
-            found[name] = spark.read.parquet(f"{root}/{name}")
+            found[name] = without_nan(spark.read.parquet(f"{root}/{name}"))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -97,7 +106,7 @@ def audit_row(spark: SparkSession, name: str, started: Column, ended: Column, ro
 
 
 def append_audit(record: DataFrame, path: str) -> None:
-    record.write.mode("append").parquet(path)
+    conform(record, AUDIT).write.mode("append").parquet(path)
 
 
 def discover_prices(df: DataFrame, ts: str) -> tuple[list[str], list[str]]:
@@ -137,8 +146,3 @@ def daily_close(df: DataFrame, date_col: str, close_col: str, name: str) -> Data
         df.select(F.col(date_col).try_cast("date").alias("fecha"), close.alias(name))
         .where(F.col(name).isNotNull() & ~F.isnan(name) & F.col("fecha").isNotNull())
     )
-
-
-def weather_grid(spark: SparkSession, path: str) -> DataFrame:
-    """Long parquet grid: one row per instant and cell, one column per variable."""
-    return spark.read.parquet(path)

@@ -7,6 +7,7 @@ from gridhour import registry as reg
 from gridhour.operators import calendar
 from gridhour.plans import bronze, feeds, model_data, reports
 from gridhour.queries import surrogates as s
+from gridhour.sources import schemas
 from gridhour.sources import tables as src
 
 SF = "/root/testdata/sf0.001"
@@ -101,7 +102,7 @@ def test_capture_of_the_same_day_overwrites_itself(spark):
     d = lambda n: (datetime(2024, 1, 1) + timedelta(days=n)).date()
     rows = [(d(0), d(1), "nuclear_mw", 5.0, 8741), (d(0), d(1), "ccgt_mw", 3.0, None), (d(0), d(1), "ccgt_mw", 99.0, 3)]
     readings = spark.createDataFrame(rows, "run_date date, target_date date, column_name string, value double, geo_id long")
-    empty = readings.where("false").select("run_date", "target_date", *[F.lit(0.0).alias(c) for c in reg.SNAPSHOT_COLUMNS])
+    empty = schemas.empty_table(spark, schemas.CAPACITY_SNAPSHOT)
     first = feeds.capacity_snapshot(empty, readings)
     second = feeds.capacity_snapshot(first, readings.withColumn("value", F.col("value") + 1))
     assert [(r.nuclear_mw, r.ccgt_mw) for r in second.collect()] == [(6.0, 4.0)]
@@ -115,6 +116,45 @@ def test_load_quality_and_column_report(spark, tables):
     assert report["c"].is_constant and not report["ree_load"].is_constant
 
 
+def test_generation_codes_add_up_before_the_hour_averages(spark):
+    wind = ("Wind Onshore|Actual Aggregated", "Wind Offshore|Actual Aggregated")
+    rows = [(f"2024-06-01 10:{m}:00", code, v) for m, v in (("00", 10.0), ("30", 20.0)) for code in wind]
+    readings = spark.createDataFrame(rows, "t string, code string, value double").select(F.col("t").cast("timestamp").alias("ts"), "code", "value")
+    loaded = feeds.generation_load(schemas.empty_table(spark, "ts TIMESTAMP, wind_mw DOUBLE"), readings)
+    assert [(r.wind_mw, r.solar_mw) for r in loaded.collect()] == [(30.0, None)]
+    row = feeds.generation_quality(loaded).first()
+    assert (row.missing_critical, row.is_complete) == (24 * 4 - 1, False)
+
+
+def test_price_day_needs_its_own_zone_only(spark, tables):
+    price = tables["spot_price"].select(F.col("datetime").alias("ts"), "es_esios", F.lit(None).cast("double").alias("fr_entsoe"))
+    assert feeds.price_quality(price).where("is_complete").count() == 21
+    cover, agree = reports.price_report(price.withColumn("es_omie", F.col("es_esios") + 1), ["es_esios", "fr_entsoe"], "es_omie", ["es_esios"])
+    assert {r.column_name: r.n_values for r in cover.collect()}["fr_entsoe"] == 0
+    assert agree.first().n_diff_es_esios == agree.first().n_hours
+
+
+def test_forecast_grid_equals_a_plain_computation(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    steps, cells = 4, [(40.0, 355.0), (41.0, 1.0), (10.0, 1.0)]
+    names = ["t2m", "d2m", "u10", "v10", "u100", "v100", "wind_gust10", "ssrd", "tcc", "tp", "msl"]
+    data = rng.random((steps, len(cells), len(names))) * 100
+    rows = [("2024-01-01", i * 3, *cell, *map(float, data[i, j])) for i in range(steps) for j, cell in enumerate(cells)]
+    grid = spark.createDataFrame(rows, "run_date string, valid_time int, lat double, lon double, " + ", ".join(f"{n} double" for n in names))
+    got = {r.ts: r for r in feeds.forecast_aggregate(grid).collect()}
+    assert sorted(got) == [3, 6, 9]
+    inside = data[:, :2]
+    ssrd = np.clip((inside[1:, :, 7] - inside[:-1, :, 7]) / 10800, 0, None).mean(axis=1)
+    rain = (np.clip((inside[1:, :, 9] - inside[:-1, :, 9]) / 10800, 0, None) * 10800 * 1000).mean(axis=1)
+    wind = np.hypot(inside[1:, :, 2], inside[1:, :, 3]).mean(axis=1)
+    for i, ts in enumerate((3, 6, 9)):
+        assert np.allclose([got[ts].ssrd_mean, got[ts].tp_mean, got[ts].wind10_mean], [ssrd[i], rain[i], wind[i]])
+    run = schemas.conform(feeds.forecast_aggregate(grid), schemas.WEATHER_RUN.replace("ts TIMESTAMP", "ts INT"))
+    assert run.columns[:2] == ["ts", "run_date"] and run.count() == 3
+
+
 def test_audit_row(spark):
     at = lambda t: F.lit(t).cast("timestamp")
     row = src.audit_row(spark, "load", at("2024-01-01 00:00:00"), at("2024-01-01 00:01:30"), 7, "OK").first()

@@ -137,6 +137,12 @@ def test_tables_are_normalised_written_by_month_and_evolve(spark, tmp_path):
     assert wider.where("extra IS NULL").count() == 2
 
 
+def test_nan_of_other_tools_is_read_as_missing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None)], "ts int, v double").write.parquet(path)
+    assert tables.scan(spark, path, "ts", ("v",)).where("v IS NOT NULL").count() == 1
+
+
 def test_range_scan_includes_the_last_day(spark):
     df = spark.sql("SELECT timestamp_ntz'2024-01-31 13:00:00' AS ts UNION ALL SELECT timestamp_ntz'2024-02-01 00:00:00'")
     assert tables.between(df, "ts", "2024-01-01", "2024-01-31").count() == 1
