@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridhour.functions import clock
 from gridhour.functions.numbers import row_mean
 from gridhour.operators import calendar
+from gridhour.operators.joins import join_groups
 
 STATS = {"mean": "avg", "min": "min", "max": "max"}
 
@@ -103,7 +104,7 @@ def forward_fill(
         *[c for c in df.columns if c not in cols],
         *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in cols],
     )
-    joined = filled.join(carried, part, "left")
+    joined = join_groups(filled, carried, part, "left")
     out = [F.coalesce(F.col(c), F.col(f"_in_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns if c != "_b"]
     return joined.select(*out)
 
@@ -122,7 +123,7 @@ def expand_steps(df: DataFrame, day: str, until: Column, keys: tuple[str, ...] =
     later = Window.partitionBy(*keys).orderBy("_y")
     heads = heads.withColumn("_next_year", F.lead("_head").over(later)).drop("_head")
     inside = Window.partitionBy(*part).orderBy(day)
-    stepped = df.withColumn("_next", F.lead(day).over(inside)).join(heads, part, "left")
+    stepped = join_groups(df.withColumn("_next", F.lead(day).over(inside)), heads, part, "left")
     last = F.coalesce(F.date_sub(F.coalesce("_next", "_next_year"), 1), until)
     covered = stepped.withColumn("_days", F.when(last >= F.col(day), F.sequence(F.col(day), last)))
     plain = [c for c in df.columns if c not in (day, "_y")]
@@ -161,7 +162,7 @@ def day_gaps(df: DataFrame, day: str, keys: tuple[str, ...] = ()) -> DataFrame:
     ends = ends.withColumn("_prev_end", F.lag("_end").over(earlier)).drop("_end")
     inside = Window.partitionBy(*part).orderBy(day)
     prev = F.coalesce(F.lag(day).over(inside), F.col("_prev_end"))
-    return df.join(ends, part, "left").withColumn("gap_days", F.datediff(F.col(day), prev)).drop("_y", "_prev_end")
+    return join_groups(df, ends, part, "left").withColumn("gap_days", F.datediff(F.col(day), prev)).drop("_y", "_prev_end")
 
 
 def typical_step(gaps: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridhour.functions import clock
-from gridhour.functions.numbers import any_of
+from gridhour.functions.numbers import all_of, any_of
 
 
 def left_with_suffix(left: DataFrame, right: DataFrame, on: list[str], suffix: str) -> DataFrame:
@@ -83,6 +83,14 @@ def first_source(primary: str, fallback: str) -> Column:
     return F.coalesce(F.col(primary), F.col(fallback))
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Attach the columns of a frame with one row per group. Rows whose key is NULL form a
+    group of their own, as they do in a grouping."""
+    renamed = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    same = all_of([F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    return df.join(renamed, same, how).drop(*[f"_g_{k}" for k in keys])
+
+
 def missing_keys(expected: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:
     """Expected keys that are not stored."""
     return expected.join(stored.select(*on), on, "left_anti")

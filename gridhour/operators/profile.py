@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridhour.functions import clock
 from gridhour.functions.numbers import band, percent
+from gridhour.operators.joins import join_groups
 
 BINS = 65536
 
@@ -62,7 +63,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str
     width = F.col("s1") - F.col("s0")
     slot = F.when(width > 0, F.least(F.floor((F.col("s") - F.col("s0")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
     if by:
-        placed = scaled.join(ends, by).withColumn("slot", slot.cast("int"))
+        placed = join_groups(scaled, ends, by).withColumn("slot", slot.cast("int"))
     else:
         # One row of totals, read back as scalars: no join on a constant key.
         placed = scaled.select(
@@ -86,7 +87,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str
     asked = F.struct("prob", "hi", "n", (F.col("rank") - F.col("below")).alias("inside"))
     needed = hits.groupBy(*keys).agg(F.collect_list(asked).alias("asked"))
     within = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cells = placed.select(*keys, "v", "c").join(needed, keys).withColumn("run", F.sum("c").over(within))
+    cells = placed.select(*keys, "v", "c").transform(join_groups, needed, keys).withColumn("run", F.sum("c").over(within))
     found = (
         cells.select(*by, "v", "run", F.explode("asked").alias("a"))
         .where(F.col("run") > F.col("a.inside"))
@@ -123,7 +124,8 @@ def describe(df: DataFrame, cols: list[str], percentiles: dict[str, float], ids:
     # The moments come from one wide pass; only the quantiles need the long form.
     basic = df.groupBy(*ids).agg(F.array(*cells).alias("cells")).select(*ids, F.explode("cells").alias("x"))
     basic = basic.select(*ids, "x.*")
-    return basic.join(quantile_columns(to_long(df, cols, list(ids)), "value", percentiles, tuple(by)), by, "left")
+    quantiles = quantile_columns(to_long(df, cols, list(ids)), "value", percentiles, tuple(by))
+    return join_groups(basic, quantiles, by, "left")
 
 
 def iqr_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -273,7 +275,7 @@ def sustained_break(monthly: DataFrame, month: str, value: str, threshold: float
     m = monthly.where(F.col(value).isNotNull()).withColumn("_x", F.abs(value) > threshold)
     calm = m.groupBy(*keys).agg(F.max(F.when(~F.col("_x"), F.col(month))).alias("_calm"))
     if keys:
-        joined = m.join(calm, list(keys))
+        joined = join_groups(m, calm, list(keys))
     else:
         joined = m.withColumn("_calm", calm.select("_calm").scalar())
     after = F.col("_x") & (F.col("_calm").isNull() | (F.col(month) > F.col("_calm")))

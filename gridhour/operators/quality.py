@@ -104,7 +104,7 @@ def flag_above_quantile(pairs: DataFrame, prob: float = 0.99, keys: tuple[str, .
     """Mark hours whose difference exceeds its own exact quantile."""
     limit = profile.quantile_columns(pairs, "diff_abs", {"threshold": prob}, keys)
     if keys:
-        marked = pairs.join(limit, list(keys))
+        marked = joins.join_groups(pairs, limit, list(keys))
     else:
         marked = pairs.withColumn("threshold", limit.select("threshold").scalar())
     return marked.withColumn("suspect", F.col("diff_abs") > F.col("threshold"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridhour.functions import clock
 from gridhour.functions.numbers import half_up
+from gridhour.operators.joins import join_groups
 
 AGGREGATES = {"avg": F.avg, "sum": F.sum}
 
@@ -46,7 +47,7 @@ def modal_complete_hours(df: DataFrame, ts: str, value: str, keys: tuple[str, ..
         F.max_by("n", F.struct("_hours", (-F.col("n")).alias("_small"))).alias("_usual")
     )
     if keys:
-        joined = hours.join(usual, keys)
+        joined = join_groups(hours, usual, keys)
     else:
         joined = hours.withColumn("_usual", usual.select("_usual").scalar())
     return joined.where(F.col("n") == F.col("_usual")).drop("_usual")

@@ -12,10 +12,10 @@ D = date(2024, 1, 1)
 
 def test_forward_fill_over_many_buckets_equals_pandas(spark):
     rng = np.random.default_rng(3)
-    rows = [(s, D + timedelta(days=int(d)), None if rng.random() < 0.8 else float(rng.integers(100))) for s in "ab" for d in range(0, 400, 3)]
+    rows = [(s, D + timedelta(days=int(d)), None if rng.random() < 0.8 else float(rng.integers(100))) for s in ("a", "b", None) for d in range(0, 400, 3)]
     df = spark.createDataFrame(rows, "s string, d date, v double")
-    got = align.forward_fill(df, "d", ["v"], ("s",)).toPandas().sort_values(["s", "d"]).v
-    pdf = pd.DataFrame(rows, columns=["s", "d", "v"]).sort_values(["s", "d"])
+    got = align.forward_fill(df, "d", ["v"], ("s",)).toPandas().fillna({"s": ""}).sort_values(["s", "d"]).v
+    pdf = pd.DataFrame(rows, columns=["s", "d", "v"]).fillna({"s": ""}).sort_values(["s", "d"])
     want = pdf.groupby("s").v.ffill()
     assert np.array_equal(got.to_numpy(), want.to_numpy().astype(float), equal_nan=True)
 
@@ -41,6 +41,17 @@ def test_quantiles_equal_numpy_with_a_hot_group_and_heavy_tails(spark):
     assert all(abs(whole[p] - np.quantile(every, p)) <= 1e-9 * max(1.0, abs(np.quantile(every, p))) for p in probs)
 
 
+def test_rows_without_a_group_key_are_a_group(spark):
+    from gridhour.operators import resample
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0)], "g string, x double")
+    assert {r.g: r.q for r in profile.exact_quantiles(df, "x", [0.5], ("g",)).collect()} == {"a": 2.0, None: 6.0}
+    d = profile.describe(df, ["x"], {"p50": 0.5}, ("g",)).collect()
+    assert {r.g: (r.n, r.p50) for r in d} == {"a": (2, 2.0), None: (2, 6.0)}
+    timed = df.withColumn("ts", F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    assert {r.g: r.x for r in resample.modal_complete_hours(timed, "ts", "x", ("g",)).collect()} == {"a": 2.0, None: 6.0}
+
+
 def months(spark, values):
     return spark.createDataFrame([(date(2025, i + 1, 1), v) for i, v in enumerate(values)], "m date, v double")
 
