@@ -350,7 +350,7 @@ def clean_trades_counts(spark, sf):
     "gas_index_sheet",
     "S10 F20 W12",
     f"""WITH r AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, o_totalprice / 1000 AS p FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH'))
- SELECT {day('d')} AS fecha, {num('round(p, 3)')} AS gas_mibgas FROM r QUALIFY row_number() OVER (PARTITION BY d ORDER BY k) = 1""",
+ SELECT {day('d')} AS fecha, {num('round(CAST(p AS DECIMAL(18, 6)), 3)')} AS gas_mibgas FROM r QUALIFY row_number() OVER (PARTITION BY d ORDER BY k) = 1""",
 )
 def gas_index_sheet(spark, sf):
     o = table(spark, sf, "orders")
