@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators and their SQL twins."""
 
-from gridhour.llm import mixing  # noqa: F401
+from gridhour.llm import mixing, quality  # noqa: F401
 from gridhour.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]
