@@ -1 +1,11 @@
-"""Operators for large training corpora; nothing else in the library imports this package."""
+"""Operators for large training corpora; nothing else in the library imports this package.
+
+Functions that run inside Python tasks travel with the job, so executors need no copy of
+this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
