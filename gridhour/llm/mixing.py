@@ -41,11 +41,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFr
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum(F.lit(cap) * F.col("source_size")).over(before), F.lit(0))
     level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     cut = F.lit(cap) * F.col("source_size") / F.col("weight") < F.col("level")
-    # the first source that is not cut fixes the level of all that follow
+    # the first source that is not cut has the highest level of those and fixes it for all
     return (
         ranked.withColumn("level", level)
         .withColumn("cut", cut)
-        .withColumn("level", F.min(F.when(~F.col("cut"), F.col("level"))).over(whole))
+        .withColumn("level", F.max(F.when(~F.col("cut"), F.col("level"))).over(whole))
         .withColumn("target", F.when(F.col("cut"), F.lit(float(cap)) * F.col("source_size")).otherwise(F.col("weight") * F.col("level")))
         .drop("weight", "level", "cut")
     )
@@ -150,7 +150,7 @@ l AS (
   SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
     / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS lv FROM o),
 c AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight < lv AS cut FROM l),
-t AS (SELECT source, source_size, CASE WHEN cut THEN 3.0::DOUBLE * source_size ELSE weight * min(CASE WHEN NOT cut THEN lv END) OVER () END AS target FROM c),
+t AS (SELECT source, source_size, CASE WHEN cut THEN 3.0::DOUBLE * source_size ELSE weight * max(CASE WHEN NOT cut THEN lv END) OVER () END AS target FROM c),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
 r AS (
   SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS budget,
