@@ -1,6 +1,6 @@
 """Registered queries of the corpus operators and their SQL twins."""
 
-from gridhour.llm import decontaminate, knn_quality, language, lines, mixing, quality, simhash  # noqa: F401
+from gridhour.llm import decontaminate, knn_quality, language, licenses, lines, mixing, pii, quality, simhash  # noqa: F401
 from gridhour.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]
