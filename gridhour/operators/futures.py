@@ -37,7 +37,8 @@ def with_delivery(bars: DataFrame, period: str = "periodo") -> DataFrame:
 
 
 def rule_of(commodity: Column, rules: dict[str, str]) -> Column:
-    out = F.lit(None).cast("string")
+    """Rule of a commodity; one without an entry follows the monthly rule."""
+    out = F.lit("next_month")
     for name, rule in rules.items():
         out = F.when(commodity == name, rule).otherwise(out)
     return out

@@ -149,20 +149,20 @@ def merge_into_parquet(
     Reads only the partitions of the fresh rows, stages the merged rows in the shared
     folder and swaps those partitions in with a dynamic overwrite. Repeating a failed or
     finished call gives the same table. A partition value that holds most rows is split
-    over several writers.
+    over several writers. Columns that only some partitions have are kept, and a policy that
+    adds no keys leaves an absent table absent.
     """
     try:
-        stored = spark.read.parquet(path)
+        stored = spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        spread_writers(fresh, partition, keys).write.partitionBy(partition).parquet(path)
+        if policy not in NO_INSERT:
+            spread_writers(fresh, partition, keys).write.partitionBy(partition).parquet(path)
         return
     fresh = fresh.withColumn(partition, F.col(partition).cast(dict(stored.dtypes)[partition]))
-    # Distinct partition values are few (months of the review window); as literals they
-    # prune the stored table before anything is read.
-    values = [row[0] for row in fresh.select(partition).distinct().collect()]
-    touched = stored.where(F.col(partition).isin(values))
+    # A semi join on the partition column prunes the stored table while the query runs.
+    touched = stored.join(fresh.select(partition).distinct(), partition, "left_semi").select(*stored.columns)
     merged = merge_frames(touched, fresh, [*keys, partition], policy, tol)
     staged = scratch_path(spark, "merge")
     merged.write.parquet(staged)

@@ -115,9 +115,9 @@ def map_codes(
 
 
 def unmapped_codes(df: DataFrame, code: str, mapping: dict[str, list[str]]) -> DataFrame:
-    """Codes in the data that no canonical column takes, with their row counts."""
+    """Codes in the data that no canonical column takes, NULL among them, with their row counts."""
     used = sorted({c for codes in mapping.values() for c in codes})
-    return df.where(~F.col(code).isin(*used)).groupBy(code).agg(F.count("*").alias("n_rows"))
+    return df.where(F.col(code).isNull() | ~F.col(code).isin(*used)).groupBy(code).agg(F.count("*").alias("n_rows"))
 
 
 def sparse_to_wide(df: DataFrame, keys: list[str], name: str, value: str, names: list[str]) -> DataFrame:

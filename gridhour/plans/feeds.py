@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridhour import registry as reg
 from gridhour.functions import clock, energy
@@ -20,14 +21,15 @@ def sane_price(c: Column) -> Column:
     return within(half_up(c, 2), *reg.PRICE_RANGE)
 
 
-def spot_prices(files: DataFrame, readings: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+def spot_prices(files: DataFrame, readings: DataFrame, zones: DataFrame, expected: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Hourly prices of three sources: the market-file columns, and the others in long form.
 
-    ``files``: market files (file, text). ``readings``: (ts, column_name, value) sub-hour
+    ``files``: market files (file, text); of several versions of a delivery day the greatest
+    name counts, and ``expected`` names a column with the day a file must be for. ``readings``: (ts, column_name, value) sub-hour
     prices of the indicator feed. ``zones``: the same for the exchange feed, where hours
     with fewer readings than usual are dropped rather than averaged.
     """
-    omie = market_files.hourly_prices(market_files.parse(files)).select(
+    omie = market_files.hourly_prices(market_files.newest_versions(market_files.parse(files, expected=expected))).select(
         "ts", sane_price(F.col("es_omie")).cast("double").alias("es_omie"), sane_price(F.col("pt_omie")).cast("double").alias("pt_omie")
     )
     hourly = readings.groupBy("column_name", clock.hour_floor(F.col("ts")).alias("ts")).agg(F.avg("value").alias("value"))
@@ -36,14 +38,24 @@ def spot_prices(files: DataFrame, readings: DataFrame, zones: DataFrame) -> tupl
     return omie, long.where(F.col("value").isNotNull())
 
 
-def spot_price_load(stored: DataFrame, files: DataFrame, readings: DataFrame, zones: DataFrame) -> DataFrame:
-    """Price table after loading the three sources into the columns it has."""
-    used = [c for c in stored.columns if c != "ts"]
-    omie, long = spot_prices(files, readings, zones)
-    wide = resample.sparse_to_wide(long, ["ts"], "column_name", "value", [c for c in used if not c.endswith("_omie")])
-    omie = omie.select("ts", *[c for c in ("es_omie", "pt_omie") if c in used])
-    fresh = joins.outer_blocks([wide, omie], "ts")
-    return merge.merge_frames(stored, fresh, ["ts"], merge.UPSERT)
+def spot_price_load(
+    stored: DataFrame, files: DataFrame, readings: DataFrame, zones: DataFrame, expected: str | None = None
+) -> DataFrame:
+    """Price table after loading the three sources into the price columns it has.
+
+    Each source changes its own columns and only where it has a value: an hour or a column
+    that was not delivered keeps what is stored, and so does every column that is no price.
+    """
+    prices = [f.name for f in stored.schema.fields if f.name != "ts" and isinstance(f.dataType, T.NumericType)]
+    omie, long = spot_prices(files, readings, zones, expected)
+    landed = [c for c in ("es_omie", "pt_omie") if c in prices]
+    others = [c for c in prices if c not in landed]
+    blocks = [omie.select("ts", *landed)] if landed else []
+    blocks += [resample.sparse_to_wide(long, ["ts"], "column_name", "value", others)] if others else []
+    if not blocks:
+        return stored
+    fresh = joins.outer_blocks(blocks, "ts").dropna(how="all", subset=prices)
+    return merge.merge_frames(stored, fresh, ["ts"], merge.PREFER_FRESH)
 
 
 def price_quality(prices: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from gridhour.operators import align, joins
 from gridhour.operators.dedupe import require_unique
 from gridhour.sources.tables import between
 
+log = logging.getLogger(__name__)
+
 SPINE_HOURLY = (
     ("entsoe_load_inter", "_load"),
     ("esios_gen", "_esiosgen"),
@@ -27,15 +31,19 @@ def _window(df: DataFrame, ts: str, span: tuple[str, str] | None) -> DataFrame:
 
 def hourly_spine(
     tables: dict[str, DataFrame],
-    span: tuple[str, str] | None = (reg.DATASET_START, reg.DATASET_END),
+    span: tuple[str, str] | None = None,
     day_tz: str = clock.MADRID,
     check_keys: bool = False,
 ) -> DataFrame:
     """Hourly tables side by side on the generation table's instants, daily facts repeated
-    over their day. Pass ``day_tz="UTC"`` to attach daily facts by UTC date.
+    over their day. Pass ``day_tz="UTC"`` to attach daily facts by UTC date and ``span`` to
+    keep a range of days only. A table that is not there is left out with a warning.
 
     ``check_keys`` runs one job that fails on a repeated instant.
     """
+    for name in (*(n for n, _ in SPINE_HOURLY), *(n for n, _ in SPINE_DAILY)):
+        if name not in tables:
+            log.warning("table %s is missing and is left out of the hourly spine", name)
     spine = _window(tables["entsoe_gen_data"], "datetime", span).withColumnRenamed("datetime", "ts")
     for name, suffix in SPINE_HOURLY:
         if name in tables:
@@ -138,12 +146,12 @@ def daily_dataset(
     valid_only: bool = True,
     weather: bool = True,
     pending: bool = False,
-    span: tuple[str, str] | None = (reg.DATASET_START, reg.DATASET_END),
+    span: tuple[str, str] | None = None,
     places: int | None = 2,
 ) -> DataFrame:
     """One row per decision day D: 24 prices of D+1 and only what is known on D.
 
-    Numbers are rounded half-even to ``places``; ``None`` keeps them as they are.
+    ``span`` keeps a range of days only. Numbers are rounded half-even to ``places``; ``None`` keeps them as they are.
 
     Every block is reduced to one row per day in its own scan, partitioned by that day, and
     joined to the target days.

@@ -343,8 +343,8 @@ def programme_load(spark, sf):
  h AS (SELECT date_trunc('hour', ts) AS ts, count(value) AS n, avg(value) AS v FROM readings WHERE source = 1 GROUP BY 1),
  k AS (SELECT n FROM (SELECT n, count(*) AS c FROM h GROUP BY 1) ORDER BY c DESC, n LIMIT 1), b AS (SELECT h.ts, round(v + 1e-9, 2) AS p FROM h JOIN k ON h.n = k.n),
  fresh AS (SELECT ts, a.p AS es_esios, b.p AS es_entsoe FROM a FULL JOIN b USING (ts)),
- stored AS (SELECT DISTINCT date_trunc('hour', ts) AS ts FROM readings WHERE source = 1)
- SELECT {stamp('ts')} AS ts, {num('CASE WHEN fresh.ts IS NULL THEN -1 ELSE es_esios END')} AS es_esios, {num('CASE WHEN fresh.ts IS NULL THEN -1 ELSE es_entsoe END')} AS es_entsoe
+ stored AS (SELECT DISTINCT date_trunc('hour', ts) AS ts, -1.0 AS o FROM readings WHERE source = 1)
+ SELECT {stamp('ts')} AS ts, {num('coalesce(es_esios, o)')} AS es_esios, {num('coalesce(es_entsoe, o)')} AS es_entsoe
  FROM stored FULL JOIN fresh USING (ts)""",
 )
 def spot_price_load(spark, sf):

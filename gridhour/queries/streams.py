@@ -120,15 +120,16 @@ def stream_late_fill(spark, sf):
 @query(
     "stream_revised_days",
     "T05 M03",
-    f"""WITH {_LATE}, g AS (SELECT * FROM f WHERE ts > (SELECT max(ts) FROM f) - INTERVAL 3 DAY)
+    f"""WITH {_LATE}, g AS (SELECT * FROM f WHERE {ldate('ts')} > (SELECT max({ldate('ts')}) FROM events) - INTERVAL 3 DAY)
  SELECT {stamp('ts')} AS ts, {num('CASE WHEN o.ts IS NULL THEN g.a WHEN g.a IS NOT NULL AND (o.a IS NULL OR abs(o.a - g.a) > 0.01) THEN g.a ELSE o.a END')} AS a
  FROM stored o FULL JOIN g USING (ts)""",
 )
 def stream_revised_days(spark, sf):
     path = _stored_table(spark, sf, "revised-table")
+    newest = table(spark, sf, "events").agg(F.max(clock.local_date(F.col("ts")))).first()[0]
     q = feeds.start_merge(
         _fresh_cells(spark, sf), path, ["ts"], ["seen", "event_id"], merge.OVERWRITE_DIFFERENT,
-        feeds.state_path(spark, "revised"), "part", 0.01, last_days=3,
+        feeds.state_path(spark, "revised"), "part", 0.01, last_days=3, run_day=newest and newest.isoformat(),
     )
     feeds.drain(q)
     return spark.read.parquet(path).select("ts", "a")

@@ -62,14 +62,15 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
-def spread_writers(df: DataFrame, partition: str, keys: list[str], writers: int = 8) -> DataFrame:
+def spread_writers(df: DataFrame, partition: str, keys: list[str], writers: int | None = None) -> DataFrame:
     """Bring the rows of each table partition to a few writers.
 
     With adaptive execution the rebalance hint splits and merges by measured size. Stateful
-    streams run without it; there every partition value is salted over a fixed number of
-    writers, so a value that holds most rows never goes to one task.
+    streams run without it; there every partition value is salted over as many writers as
+    the session has shuffle partitions, so a value that holds most rows never goes to one task.
     """
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
         return df.hint("rebalance", partition)
+    writers = writers or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*keys), F.lit(writers))
     return df.repartition(F.col(partition), salt)

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridhour import registry as reg
 from gridhour.functions import clock, labels
 from gridhour.functions.numbers import half_up, number_from_text
+from gridhour.operators import dedupe
 
 # How the price lines of the two zones begin, without accents.
 SPANISH_LINE = "precio marginal en el sistema espanol"
@@ -76,14 +78,16 @@ def parse(files: DataFrame, text: str = "text", expected: str | None = None, tz:
     wrong_day = F.col("delivery").isNull()
     if expected is not None:
         wrong_day = wrong_day | (F.col("delivery") != F.col(expected))
+    outside = lambda v: ~v.between(*reg.PRICE_RANGE)
+    same_size = F.coalesce(F.size("pt") == n, F.lit(False))
     reason = (
         F.when(wrong_day, "other delivery date")
         .when(F.col("es").isNull(), "no price line")
         .when(F.col("header").isNull() | (F.size("header") != n), "header missing or of other length")
         .when(F.col("per_hour").isNull(), "number of values fits neither format")
         .when(~F.coalesce(whole, F.lit(False)), "labels do not cover the day")
+        .when(F.exists("es", outside) | F.coalesce(F.exists("pt", outside) & same_size, F.lit(False)), "price out of range")
     )
-    same_size = F.coalesce(F.size("pt") == n, F.lit(False))
     return read.withColumn("reason", reason).withColumn("pt", F.when(same_size, F.col("pt")))
 
 
@@ -92,6 +96,11 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull()).select(*kept)
 
 
+def newest_versions(parsed: DataFrame, version: str = "file") -> DataFrame:
+    """Of the accepted files of a delivery day the one with the greatest version."""
+    return dedupe.keep_last(parsed.where(F.col("reason").isNull()), ["delivery"], [version])
+
+
 def hourly_prices(parsed: DataFrame, file: str = "file", tz: str = clock.MADRID, places: int = 2) -> DataFrame:
     """Half-up hourly means of the accepted files, keyed by UTC instant."""
     blank = F.transform("es", lambda _: F.lit(None).cast("decimal(18,6)"))

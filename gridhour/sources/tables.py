@@ -20,7 +20,7 @@ log = logging.getLogger(__name__)
 
 def scan(spark: SparkSession, path: str, time_col: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """Parquet scan of the time column and the registered columns; all when none are given."""
-    df = spark.read.parquet(path)
+    df = spark.read.option("mergeSchema", "true").parquet(path)
     return without_nan(df.select(time_col, *columns) if columns else df)
 
 
@@ -36,7 +36,7 @@ def scan_all(spark: SparkSession, root: str, names: list[str]) -> dict[str, Data
     found = {}
     for name in names:
         try:
-            found[name] = without_nan(spark.read.parquet(f"{root}/{name}"))
+            found[name] = without_nan(spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}"))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

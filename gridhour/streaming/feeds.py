@@ -90,6 +90,7 @@ def start_merge(
     partition: str = "month",
     tol: float = 0.0,
     last_days: int | None = None,
+    run_day: str | None = None,
     mode: str = "append",
 ) -> StreamingQuery:
     """Merge each batch into a parquet table partitioned by month.
@@ -97,19 +98,28 @@ def start_merge(
     An aggregated stream in ``update`` mode with ``upsert`` keeps the table at the newest
     value of each key; it never grows beyond its keys. With ``fill_null`` this is the review of late data; with ``overwrite_different`` the
     re-reading of days that the source revises after publication; ``last_days`` then limits
-    each batch to its most recent days.
+    it to the local days up to ``run_day``, however the readings fall into batches.
     """
+    if last_days is not None and run_day is None:
+        raise ValueError("last_days needs the run_day that it counts back from")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch if last_days is None else recent_days(batch, keys[0], last_days)
+        batch = batch if last_days is None else days_up_to(batch, keys[0], last_days, run_day)
         once = dedupe.keep_last(batch, keys, order).drop(*[c for c in order if c not in keys]) if order else batch
         merge.merge_into_parquet(batch.sparkSession, path, once, keys, policy, partition, tol)
 
     return _run(stream, write, checkpoint, mode)
 
 
+def days_up_to(readings: DataFrame, ts: str, days: int, run_day: str, tz: str = clock.MADRID) -> DataFrame:
+    """Readings of the last local days up to and with ``run_day``."""
+    day = clock.local_date(F.col(ts), tz)
+    last = F.lit(run_day).cast("date")
+    return readings.where((day <= last) & (day > F.date_sub(last, days)))
+
+
 def recent_days(readings: DataFrame, ts: str, days: int = 3) -> DataFrame:
-    """Filter of the last days before the newest reading of a batch."""
+    """Filter of the last days before the newest reading of a whole table."""
     newest = readings.agg(F.max(ts).alias("m")).select("m").scalar()
     return readings.where(F.col(ts) > newest - F.make_dt_interval(F.lit(days)))
 

@@ -107,3 +107,19 @@ def test_stored_null_is_a_difference_and_fresh_null_is_not(spark):
         for r in joins.compare_values(spark.createDataFrame(OLD, SCHEMA), spark.createDataFrame(NEW, SCHEMA), ["k"], ["a", "b"], 0.5).collect()
     }
     assert got == {2: (False, False), 3: (True, True)}
+
+
+def test_added_columns_survive_later_merges(spark, tmp_path):
+    path = str(tmp_path / "t")
+    put = lambda rows, cols: merge.merge_into_parquet(spark, path, spark.createDataFrame(rows, cols), ["k"], merge.UPSERT, "part")
+    put([(1, 1.0, "m1")], "k int, a double, part string")
+    put([(2, 2.0, 7.0, "m2")], "k int, a double, b double, part string")
+    put([(3, 3.0, "m2")], "k int, a double, part string")
+    got = {r.k: (r.a, r.b) for r in spark.read.option("mergeSchema", "true").parquet(path).collect()}
+    assert got == {1: (1.0, None), 2: (2.0, 7.0), 3: (3.0, None)}
+
+
+def test_a_policy_without_inserts_leaves_an_absent_table_absent(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge.merge_into_parquet(spark, path, spark.createDataFrame([(1, 1.0, "m1")], "k int, a double, part string"), ["k"], merge.UPDATE_ONLY, "part")
+    assert not (tmp_path / "t").exists()

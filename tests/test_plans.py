@@ -167,3 +167,30 @@ def test_plans_have_no_cross_joins_or_python_workers(spark):
     for name in ("daily_dataset_valid_days", "bronze_union", "pair_control_p99", "roll_report", "market_file_hours", "snapshot_revision"):
         plan = REGISTRY[name].build(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not any(w in plan for w in ("CartesianProduct", "NestedLoop", "Python", "Pandas")), name
+
+
+def test_spine_keeps_every_year_by_default(spark):
+    from gridhour.plans import model_data
+
+    gen = spark.sql("SELECT timestamp'2019-06-01 10:00:00' AS datetime, 1.0D AS x UNION ALL SELECT timestamp'2026-09-01 10:00:00', 2.0D")
+    assert model_data.hourly_spine({"entsoe_gen_data": gen}).count() == 2
+    assert model_data.hourly_spine({"entsoe_gen_data": gen}, span=("2019-01-01", "2020-01-01")).count() == 1
+
+
+def test_price_load_changes_only_what_a_source_delivers(spark):
+    from gridhour.plans import feeds
+
+    stored = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS ts, 50.0D AS es_omie, 52.0D AS es_entsoe, 1.0D AS es_esios, 'keep' AS note")
+    files = spark.createDataFrame([], "file string, text string")
+    reading = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS ts, 'es_esios' AS column_name, 60.0D AS value")
+    row = feeds.spot_price_load(stored, files, reading, reading.limit(0)).first()
+    assert (row.es_omie, row.es_entsoe, row.es_esios, row.note) == (50.0, 52.0, 60.0, "keep")
+    market_only = stored.select("ts", "es_omie")
+    assert feeds.spot_price_load(market_only, files, reading, reading.limit(0)).first().es_omie == 50.0
+
+
+def test_null_codes_are_reported_as_unmapped(spark):
+    from gridhour.operators import resample
+
+    df = spark.createDataFrame([(None,), ("b",), ("a",)], "code string")
+    assert {r.code: r.n_rows for r in resample.unmapped_codes(df, "code", {"x": ["a"]}).collect()} == {None: 1, "b": 1}

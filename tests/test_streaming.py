@@ -54,3 +54,19 @@ def test_closed_days_raise_an_alert_only_after_the_watermark(spark, tmp_path):
     feeds.drain(feeds.start_versions(feeds.closed_days(feeds.read_landed(spark, src, schema), "ts", "s"), out, state, "append"))
     got = [(r.day.isoformat(), r.n_hours, r.n_expected, r.alert) for r in spark.read.parquet(out).collect()]
     assert got == [("2024-01-02", 20, 24, True)]
+
+
+def test_revised_days_do_not_depend_on_the_batches(spark, tmp_path):
+    rows = [(d, f"2024-01-{d:02d} 10:00:00", "a", 5.0) for d in (1, 10, 20)]
+    shaped = lambda df: df.select("ts", "id", F.col("v").alias("a"), F.date_format("ts", "yyyy-MM").alias("month"))
+    results = []
+    for name, parts in (("one", [rows]), ("many", [[r] for r in rows])):
+        src, path, state = (str(tmp_path / f"{name}-{n}") for n in ("src", "table", "state"))
+        stored = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS ts, 0.0D AS a, '2024-01' AS month")
+        merge.merge_into_parquet(spark, path, stored, ["ts"], merge.UPSERT, "month")
+        for i, part in enumerate(parts):
+            schema = land(spark, src, part, i)
+            q = feeds.start_merge(shaped(feeds.read_landed(spark, src, schema)), path, ["ts"], ["id"], merge.OVERWRITE_DIFFERENT, state, last_days=3, run_day="2024-01-20")
+            feeds.drain(q)
+        results.append({r.ts.day: r.a for r in spark.read.parquet(path).collect()})
+    assert results[0] == results[1] == {1: 0.0, 20: 5.0}
