@@ -28,7 +28,7 @@ BITS = 15
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of texts that one round of forward-backward takes together.
-ROUND = 4_000_000
+ROUND = 1_500_000
 _POWERS = np.cumprod(np.full(64, 2654435761, np.uint64)).astype(np.uint32)
 
 
