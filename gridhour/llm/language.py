@@ -169,7 +169,12 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     Longer texts than ``MAX_SAMPLE_CHARS`` are not chosen, which bounds what the driver holds.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= MAX_SAMPLE_CHARS))
-    rows = usable.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(doc_id, text).alias("h")).orderBy("h", "t").limit(sample).collect()
+    hashed = usable.select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    # hashes first, so that no task sends more texts than are chosen
+    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    if not chosen:
+        return train([], [])
+    rows = hashed.where(F.col("h") <= chosen[-1]).groupBy("h").agg(F.min(F.struct("t", "l")).alias("r")).orderBy("h").select("r.t", "r.l").collect()
     return train([r["t"] for r in rows], [r["l"] for r in rows])
 
 
