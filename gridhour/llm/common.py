@@ -40,7 +40,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     the text pass that made them, and several readers share one computation.
     """
     path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
