@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from gridhour.llm.common import query, stored, table
 
 LENGTH, GRAM = 50, 16
-#: Bytes of segments that one suffix array covers.
-BLOCK = 1 << 20
+#: Bytes of segments that one suffix array covers (more if one key has more): its words stay in the cache.
+BLOCK = 1 << 18
 LAST_ID = (1 << 63) - 1
 
 
@@ -88,16 +88,23 @@ def suffix_array(buffer: np.ndarray) -> np.ndarray:
 
     word = _words(buffer)
     direct = np.flatnonzero(small)
-    direct = direct[np.argsort(word[direct], kind="stable")]
-    tied = np.append(False, word[direct[1:]] == word[direct[:-1]]) if len(direct) else np.empty(0, bool)
+    first = word[direct]
+    order = np.argsort(first)
+    direct, first = direct[order], first[order]
+    tied = np.append(False, first[1:] == first[:-1]) if len(direct) else np.empty(0, bool)
     for depth in range(8, 56, 8):
-        group = np.cumsum(~tied)
         held = np.flatnonzero(tied | np.append(tied[1:], False))
         if not len(held):
             break
-        order = held[np.lexsort((word[direct[held] + depth], group[held]))]
-        direct[held] = direct[order]
-        tied[held] &= word[direct[held] + depth] == word[direct[held - 1] + depth]
+        group, at = np.cumsum(~tied)[held], direct[held]
+        # the tied group and the rank of the next word make one number, so plain sorts do
+        by_word = np.argsort(word[at + depth])
+        next_word = word[at[by_word] + depth]
+        rank = group[by_word] << 32 | np.cumsum(np.append(False, next_word[1:] != next_word[:-1]))
+        order = np.argsort(rank)
+        rank = rank[order]
+        direct[held] = at[by_word[order]]
+        tied[held] = np.append(False, rank[1:] == rank[:-1])
 
     cuts = np.searchsorted(letters[direct], np.arange(257))
     large: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -132,6 +139,8 @@ def least_ids(segments: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nd
     The least id of a window is taken over all segments that contain it; every window of
     every segment lies in one range.
     """
+    if not segments:
+        return (np.empty(0, np.int64),) * 4
     sizes = np.array([len(s) for s in segments])
     buffer = np.frombuffer(b"".join(segments), np.uint8)
     firsts = np.cumsum(sizes) - sizes
@@ -261,6 +270,11 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def ranges(part: pa.Table) -> pa.RecordBatch:
+        key, least_id, last = (part[c].to_numpy() for c in ("key", "least_id", "last_id"))
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        several = np.minimum.reduceat(least_id, heads) < np.maximum.reduceat(last, heads)
+        met = np.repeat(several, np.diff(np.append(heads, len(key))))  # one id alone, as copies are gone, loses nothing
+        part = part.filter(pa.array(met))
         key, mark, last = (part[c].to_numpy() for c in ("key", "mark", "last_id"))
         owner, first, end, least = least_ids(part["segment"].to_pylist(), part["least_id"].to_numpy())
         lost = least < last[owner]
