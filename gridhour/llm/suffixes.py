@@ -181,7 +181,11 @@ def _packed(texts: DataFrame) -> DataFrame:
 
 
 def _release(spark: SparkSession) -> None:
-    """Let the driver drop what it no longer refers to, and with it the shuffle files on disk."""
+    """Let the driver drop what it no longer refers to, and with it the shuffle files on disk.
+
+    The listeners of the session hold the last query until another one ends, hence the small query.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -328,7 +332,9 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     span = F.struct((F.col("start") + F.col("from_")).alias("start"), (F.col("start") + F.col("to_") + LENGTH - 1).alias("end"))
     spans = found.groupBy("id", "tag").agg(F.collect_list(span).alias("spans"))
     both = spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"copy": F.lit(True), "spans": F.array().cast(spans.schema["spans"].dataType)}))
-    return stored(both.groupBy("id", "tag").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
+    out = stored(both.groupBy("id", "tag").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
+    _release(spark)
+    return out
 
 
 def _subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
