@@ -51,6 +51,28 @@ def test_quality_counts_equal_a_plain_count(spark, odd, none):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def test_long_gibberish_and_keyword_lists_are_rejected(spark):
+    rng = random.Random(11)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    stop = {k: listed * 2 for k, listed in quality.LEXICON.items()}
+
+    def clean(lang, n):
+        said = [rng.choice(stop[lang]) if rng.random() < 0.2 else word("abcdeilmnorstu") for _ in range(n)]
+        return " ".join(w.capitalize() + "." if rng.random() < 0.1 else w for w in said)
+
+    keys = [word("abcdeilmnorstu") + "x" for _ in range(60)]
+    dotted = lambda ws: " ".join(w.capitalize() + "." if rng.random() < 0.1 else w for w in ws)
+    good = [(i, clean(k, rng.randint(100, 700)), k) for i, k in enumerate(["en", "de", "fr", "es"] * 40)]
+    bad = [(1000 + i, dotted(word("bcdfghjklmnpqrstvwxz") + "q" for _ in range(n)), k) for i, (n, k) in enumerate([(100, "en"), (400, "de"), (3000, None), (400, "und")])]
+    bad += [(2000 + i, dotted(rng.choice(keys) for _ in range(n)), k) for i, (n, k) in enumerate([(100, "fr"), (400, "es"), (3000, "")])]
+    other = [(3000, dotted(word("abcdeilmnorstu") for _ in range(300)), "it")]  # no list tells its words
+    docs = spark.createDataFrame(good + bad + other, "doc_id long, text string, lang string")
+    rows = quality.quality_rules(docs).collect()
+    assert {r.doc_id for r in rows if r.base_failed} == set()
+    assert {r.doc_id for r in rows if not r.kept} == {i for i, *_ in bad}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {i for i, *_ in good + other}
+
+
 def test_near_groups_equal_all_pairs(spark, odd, none):
     rng = random.Random(5)
     base = prose(rng, 400).split()
