@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 
 from gridhour.llm.common import id_bucket, query, table
 
-#: Texts that the model is fitted on at most, and the longest of them in characters.
-SAMPLE, MAX_SAMPLE_CHARS = 600, 20_000
+#: Texts that the model is fitted on, dealt evenly to the languages, but so many of each language
+#: at least, if it has them; and the longest of them in characters.
+SAMPLE, LEAST_EACH, MAX_SAMPLE_CHARS = 600, 25, 20_000
 EPOCHS, RATE, DECAY = 5, 0.25, 1e-5
 BITS = 15
 UNKNOWN = "und"
@@ -164,17 +165,27 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` whole texts with a language, chosen by a hash of id and text.
+    """Fit on whole texts of every language, in each those with the least hashes of id and text.
 
-    Longer texts than ``MAX_SAMPLE_CHARS`` are not chosen, which bounds what the driver holds.
+    Each of ``k`` languages gives at most ``max(sample // k, LEAST_EACH)`` texts, however rare it
+    is. Longer texts than ``MAX_SAMPLE_CHARS`` are not chosen, which bounds what the driver holds.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= MAX_SAMPLE_CHARS))
     hashed = usable.select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    # hashes first, so that no task sends more texts than are chosen
-    chosen = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
-    if not chosen:
+    sizes = {r["l"]: r["n"] for r in hashed.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
         return train([], [])
-    rows = hashed.where(F.col("h") <= chosen[-1]).groupBy("h").agg(F.min(F.struct("t", "l")).alias("r")).orderBy("h").select("r.t", "r.l").collect()
+    each = max(sample // len(sizes), LEAST_EACH)
+    below = lambda cuts: F.col("h") <= F.get(F.array(*map(F.lit, cuts.values())), F.array_position(F.array(*map(F.lit, cuts)), F.col("l")).cast("int") - 1)
+    # hashes first, so that no task sends many more texts than are chosen; a few times as many as
+    # are wanted lie below a share of all hashes that follows from the language's size
+    share = {name: min(1.0, (4 * each + 40) / max(n, 1)) for name, n in sizes.items()}
+    likely = hashed.where(below({name: min(int(s * 2**64) - 2**63, 2**63 - 1) for name, s in share.items()}))
+    found: dict[str, list[int]] = {name: [] for name in sizes}
+    for r in likely.select("l", "h").distinct().collect():
+        found[r["l"]].append(r["h"])
+    cuts = {name: sorted(hashes)[:each][-1] for name, hashes in found.items() if hashes}
+    rows = hashed.where(below(cuts)).groupBy("h", "l").agg(F.min("t").alias("t")).orderBy("h", "l").collect()
     return train([r["t"] for r in rows], [r["l"] for r in rows])
 
 

@@ -180,6 +180,23 @@ def test_language_on_held_out_texts_and_words(spark, odd, none):
     assert language.detect(odd, language.fit(none)).where("lang_pred <> 'und'").count() == 0 and language.detect(none, model).count() == 0
 
 
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(4)
+    say = {"en": ["the", "thing", "with"], "de": ["der", "schule", "und"], "fi": ["talo", "yksi", "hyvä"]}
+    text = lambda k: " ".join(rng.choice(say[k]) + rng.choice(["", "a", "s"]) for _ in range(20))
+    rows = [(i, text(k), k) for i, k in enumerate(["en"] * 5000 + ["de"] * 2992 + ["fi"] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sent, trained = [], language.train
+    language.train = lambda texts, langs: sent.extend(langs) or trained(texts, langs)
+    try:
+        model = language.fit(docs, sample=90)
+    finally:
+        language.train = trained
+    assert {k: sent.count(k) for k in say} == {"en": 30, "de": 30, "fi": 8}
+    fresh = spark.createDataFrame([(i, text(k), k) for i, k in enumerate([*say] * 10)], "doc_id long, text string, lang string")
+    assert fresh.join(language.detect(fresh.drop("lang"), model), "doc_id").where("lang <> lang_pred").count() == 0
+
+
 def test_quality_votes_of_neighbours(spark, odd, none):
     rng = random.Random(2)
     rows = [(i, prose(rng, 60).capitalize() + "." if i % 3 else prose(rng, 30).upper().replace(" ", "!! ")) for i in range(90)]
