@@ -1,7 +1,8 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-A text is counted as terms: three-letter patterns of character classes, and whether its words
-repeat. Term counts are weighted by tf-idf and projected on the leading singular directions
+A text is counted as terms of three kinds: its lower-cased words and its letter trigrams, both
+hashed, and its shape: three-letter patterns of character classes, and whether its words repeat.
+Term counts are weighted by tf-idf within their kind and projected on the leading singular directions
 of a bounded sample of labelled texts. The sample's vectors go to every task; each batch of
 documents is multiplied with all of them, exactly, in one blocked product, and the labels of
 the nearest neighbours vote with their similarity.
@@ -9,6 +10,8 @@ the nearest neighbours vote with their similarity.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,18 +33,32 @@ CLASS = np.array(
     dtype=np.int64,
 )
 BASE = 14
-TERMS = BASE**3 + 3
+SHAPES = BASE**3 + 3
+WORDS, LETTERS = 8192, 2048
+TERMS = SHAPES + WORDS + LETTERS
+#: Where each kind of terms lies, and its part in a text's vector.
+KINDS = [(0, SHAPES, 1.0), (SHAPES, SHAPES + WORDS, 0.3), (SHAPES + WORDS, TERMS, 0.3)]
 
 
 def term_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Term ids of a UTF-8 text and how often each occurs."""
     shape = CLASS[np.frombuffer(text or b"", np.uint8)]
-    grams = np.bincount(shape[:-2] * BASE * BASE + shape[1:-1] * BASE + shape[2:], minlength=TERMS) if len(shape) > 2 else np.zeros(TERMS, np.int64)
+    grams = np.bincount(shape[:-2] * BASE * BASE + shape[1:-1] * BASE + shape[2:], minlength=SHAPES) if len(shape) > 2 else np.zeros(SHAPES, np.int64)
     words = (text or b"").split()
     same = sum(map(bytes.__eq__, words, words[1:]))
     grams[BASE**3 :] = same, len(words) - len(set(words)) - same if words else 0, len(set(words))
-    at = np.flatnonzero(grams)
-    return at, grams[at]
+    lower = (text or b"").decode(errors="replace").lower().encode()
+    said = np.zeros(WORDS, np.int64)
+    for w, n in Counter(lower.split()).items():
+        said[zlib.crc32(w.strip(b".,;:!?\"'()")) % WORDS] += n
+    b = np.frombuffer(lower, np.uint8).astype(np.uint32)
+    mixed = b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)
+    letter = ((b >= 97) & (b <= 122)) | (b >= 128)
+    inside = letter[:-2] & letter[1:-1] & letter[2:]
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(21)
+    counts = np.concatenate([grams, said, np.bincount(mixed[inside], minlength=LETTERS)])
+    at = np.flatnonzero(counts)
+    return at, counts[at]
 
 
 @dataclass
@@ -73,7 +90,9 @@ class Model:
 def _weigh(counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
     out = np.zeros((len(counts), TERMS), np.float32)
     for row, (at, n) in zip(out, counts, strict=True):
-        row[at] = np.sqrt(n / max(1, n.sum())) * idf[at]
+        row[at] = np.sqrt(n) * idf[at]
+        for low, high, part in KINDS:
+            row[low:high] *= part / max(float(np.linalg.norm(row[low:high])), 1e-12)
     return _unit(out)
 
 

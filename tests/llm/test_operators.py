@@ -210,6 +210,15 @@ def test_quality_votes_of_neighbours(spark, odd, none):
     assert knn_quality.score(none, model).count() == 0
 
 
+def test_quality_votes_differ_by_words_of_one_shape(spark):
+    rng = random.Random(8)
+    say = [["cheap", "prize", "click", "bonus", "offer"], ["river", "stone", "house", "light", "water"]]
+    rows = [(i, " ".join(rng.choice(say[i % 2]) for _ in range(40))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = knn_quality.fit(docs.where("doc_id < 80"), docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label")))
+    assert all((r.score >= 0.7) == (r.doc_id % 2 == 1) for r in knn_quality.score(docs.where("doc_id >= 80"), model).collect())
+
+
 def test_licences_are_found_and_inherited(spark, odd, none):
     rows = [
         (1, "r/LICENSE", "Released under the MIT License."), (2, "r/a/b/x.txt", "some prose here"), (3, "r/a/y.txt", "text\nAll rights reserved."),
