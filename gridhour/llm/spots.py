@@ -34,11 +34,11 @@ ANCHORS = {
     "ru": "и в не на что с по это как из у за к от",
 }
 SPOTS = sorted({w for listed in ANCHORS.values() for w in listed.split()})
-#: Scripts without spaces: each character is a word.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-TOKEN = rf"[{UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]+"
-#: Content words in a chain, and how many words after a spot are searched for them.
-CHAIN, REACH = 2, 8
+#: Scripts without spaces. In a text of two bytes a character or more each of these characters is a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
+#: Content words in a chain.
+CHAIN = 2
 THRESHOLD = 0.8
 #: Signatures are shown as so many hexadecimal digits, hence have four times as many bits.
 DIGITS = 12
@@ -46,29 +46,42 @@ DIGITS = 12
 PART, PARTS, NONE_PARTS = 1 << 11, 1 << 16, 1 << 10
 
 
-def signatures(text: Column, chain: int = CHAIN, reach: int = REACH) -> Column:
+def tokens(text: Column) -> Column:
+    """Lower-case words of letters, marks and digits, in order; a text without any has one empty word."""
+    lower = F.lower(text)
+    wide = F.octet_length(text) >= 2 * F.length(text)
+    spaced = F.when(wide, F.regexp_replace(lower, UNSPACED, " $0 ")).otherwise(lower)
+    return F.split(F.trim(F.regexp_replace(spaced, BETWEEN, " ")), " ")
+
+
+def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The sorted set of a text's signatures, as longs of ``4 * DIGITS`` bits.
 
     A text without a complete chain takes each of its words as a spot; one of too few words for
     that has a single signature of all its words, and one without words that of its characters,
-    so that only equal sequences are alike. A null text is an empty one.
+    so that only equal sequences are alike. A null text is an empty one. The work grows with the
+    number of words, however long the text.
     """
     text = F.coalesce(text, F.lit(""))
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    mark = lambda h: F.shiftrightunsigned(h, 64 - 4 * DIGITS)
-
-    def chains(t: Column, spot, content) -> Column:
-        after = lambda i: F.slice(F.filter(F.slice(t, i + 2, reach), content), 1, chain)
-        found = F.transform(t, lambda w, i: F.when(spot(w), F.struct(w.alias("w"), after(i).alias("c"))))
-        full = F.filter(found, lambda s: F.size(s["c"]) == chain)
-        return F.transform(full, lambda s: mark(F.xxhash64(s["w"], s["c"])))
-
-    common = lambda w: w.isin(SPOTS)
-    spotted = F.transform(F.array(tokens), lambda t: F.struct(t.alias("t"), chains(t, common, lambda w: ~common(w)).alias("s")))[0]
-    every = lambda t: chains(t, lambda w: F.lit(True), lambda w: F.lit(True))
-    whole = lambda t: F.array(mark(F.xxhash64(F.lit("all"), t, F.when(F.size(t) == 0, text))))
+    mark = lambda *of: F.shiftrightunsigned(F.xxhash64(*of), 64 - 4 * DIGITS)
+    # one-element arrays bind an intermediate result once for the lambdas that use it often
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    spot = lambda w: w.isin(SPOTS)
+
+    def chains(r: Column) -> Column:
+        # the words before the j-th spot, at i, are j spots and i - j content words
+        last = F.size(r["c"]) - chain
+        found = F.transform(r["at"], lambda i, j: F.when(i - j <= last, mark(F.get(r["t"], i), *[F.get(r["c"], i - j + k) for k in range(chain)])))
+        return F.struct(r["t"].alias("t"), F.array_compact(found).alias("s"))
+
+    def parts(t: Column) -> Column:
+        at = F.filter(F.transform(t, lambda w, i: F.when(spot(w), i)), lambda i: i.isNotNull())
+        return F.struct(t.alias("t"), at.alias("at"), F.filter(t, lambda w: ~spot(w)).alias("c"))
+
+    every = lambda t: F.array_compact(F.transform(t, lambda w, i: F.when(i + chain < F.size(t), mark(w, *[F.get(t, i + k) for k in range(1, chain + 1)]))))
+    whole = lambda t: F.array(mark(F.lit("all"), t, F.when(F.get(t, F.lit(0)) == "", text)))
     pick = lambda r: F.when(F.size(r["s"]) > 0, r["s"]).when(F.size(r["t"]) > chain, every(r["t"])).otherwise(whole(r["t"]))
-    return F.array_sort(F.array_distinct(F.transform(F.array(spotted), pick)[0]))
+    return F.array_sort(F.array_distinct(once(once(once(tokens(text), parts), chains), pick)))
 
 
 def fingerprint(found: Column) -> Column:
