@@ -6,13 +6,46 @@ so a key with a third of all rows never lands in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Types that a hash aggregation can update in place.
+FIXED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.DecimalType)
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _whole(df: DataFrame, c: str) -> Column:
+    kind = df.schema[c].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp"))
+    return F.unix_date(c).cast("long") if isinstance(kind, T.DateType) else F.col(c).cast("long")
+
+
+def _order_key(df: DataFrame, order: list[str]) -> Column | None:
+    """One number that sorts like the columns, NULL first; none if a hash aggregation has no such type.
+
+    Two whole numbers become one of 38 digits: the second has its 64 bits, the first what is
+    left, which microseconds need until the year 9999.
+    """
+    kinds = [df.schema[c].dataType for c in order]
+    if len(order) == 1 and isinstance(kinds[0], WHOLE):
+        return F.coalesce(_whole(df, order[0]), F.lit(-(1 << 63)))
+    if len(order) == 2 and all(isinstance(k, WHOLE) for k in kinds) and not isinstance(kinds[0], T.LongType):
+        first = F.coalesce(_whole(df, order[0]), F.lit(-(10**18) + 1)).cast("decimal(18,0)")
+        second = F.coalesce(_whole(df, order[1]), F.lit(-(1 << 63))).cast("decimal(19,0)") + F.lit(str(1 << 63)).cast("decimal(19,0)")
+        return (first * F.lit(str(2 * 10**19)).cast("decimal(20,0)") + second.cast("decimal(20,0)")).cast("decimal(38,0)")
+    return None
 
 
 def _pick(df: DataFrame, keys: list[str], order: list[str], last: bool) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     chooser = F.max_by if last else F.min_by
+    key = _order_key(df, order)
+    if key is not None and all(isinstance(df.schema[c].dataType, FIXED) for c in rest):
+        # column by column from the same rows in the same sequence, so all come from one row
+        keyed = df.withColumn("_order", key)
+        return keyed.groupBy(*keys).agg(*[chooser(c, "_order").alias(c) for c in rest]).select(*df.columns)
     row = chooser(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 

@@ -16,10 +16,15 @@ def daily_bars(trades: DataFrame, tz: str = clock.MADRID, group: tuple[str, ...]
     trade id, so equal instants give the same bar on every run. All measures merge partially
     in hash aggregates, so one busy contract is reduced inside the map tasks.
     """
+    day = clock.local_date(F.col("deal_date"), tz).alias("fecha")
+    return trades.groupBy(day, *group).agg(*bar_measures())
+
+
+def bar_measures() -> list[Column]:
+    """The measures of a bar, for batches and streams alike."""
     qty = F.greatest(F.col("cantidad"), F.lit(1))
     order = clock.arrival_rank(F.col("deal_date"), F.col("trade_id"))
-    day = clock.local_date(F.col("deal_date"), tz).alias("fecha")
-    return trades.groupBy(day, *group).agg(
+    return [
         F.min("item_id").alias("item_id"),
         F.min_by("precio", order).alias("apertura"),
         F.max("precio").alias("maximo"),
@@ -29,7 +34,7 @@ def daily_bars(trades: DataFrame, tz: str = clock.MADRID, group: tuple[str, ...]
         F.sum(qty).alias("volumen"),
         F.count("*").alias("n_trades"),
         half_up(F.try_divide(F.lit(100.0) * F.count_if("agresor_compra"), F.count("*")), 1).alias("pct_agresor_compra"),
-    )
+    ]
 
 
 def with_delivery(bars: DataFrame, period: str = "periodo") -> DataFrame:

@@ -1,6 +1,6 @@
 """Merging fresh data into stored data under explicit policies.
 
-``merge_frames`` is a pure function over one full outer join on unique keys.
+``merge_frames`` is a pure function over one full outer join on unique, null-safe keys.
 ``merge_into_parquet`` applies it to a partitioned parquet table and rewrites only the
 partitions that the fresh rows touch.
 """
@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridhour.functions.numbers import all_of
+from gridhour.operators import dedupe
 from gridhour.operators.joins import changed
 from gridhour.session import scratch_path, spread_writers
 
@@ -49,6 +51,19 @@ def _cell(policy: str, old: Column, new: Column, both: Column, tol: float) -> Co
     raise ValueError(f"unknown policy {policy!r}; use one of {POLICIES}")
 
 
+def one_per_key(fresh: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Fresh rows with unique keys: the newest by ``order``, or an error where a key repeats.
+
+    A NULL key is a key. Grouping by the keys deals the rows as the join of the merge needs them.
+    """
+    if order:
+        return dedupe.keep_last(fresh, keys, list(order))
+    rest = [c for c in fresh.columns if c not in keys]
+    one = fresh.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    unique = F.assert_true(F.col("_n") == 1, F.lit(f"the fresh rows repeat a key of {keys}")).isNull()
+    return one.where(unique).select(*fresh.columns)
+
+
 def merge_frames(
     stored: DataFrame,
     fresh: DataFrame,
@@ -58,24 +73,38 @@ def merge_frames(
     insert: bool | None = None,
     insert_when: Column | None = None,
     update_when: Column | None = None,
+    order: list[str] | None = None,
+    follow: list[str] | None = None,
 ) -> DataFrame:
-    """Stored table after the merge. Both sides must have unique keys.
+    """Stored table after the merge. Both sides must have unique keys; NULL keys match.
 
     Columns that only one side has are kept (additive schema). ``insert`` overrides
     whether fresh keys that are not stored are added. ``insert_when`` and ``update_when``
     are conditions on the keys under which rows may be added or changed.
+
+    ``order`` names columns of both sides that tell which row is newer: a fresh row that is older
+    than the stored one changes no value (it may still fill a NULL), so batches may come in any
+    order. ``follow`` names columns, such as the partition, that take the fresh value whenever the
+    policy lets fresh values win.
     """
+    order, follow = list(order or []), list(follow or [])
     insert = policy not in NO_INSERT if insert is None else insert
     old_cols = [c for c in stored.columns if c not in keys]
     new_cols = [c for c in fresh.columns if c not in keys]
     types = {**dict(fresh.dtypes), **dict(stored.dtypes)}
-    a = stored.select(*keys, F.lit(True).alias("_s"), *[F.col(c).alias(f"_o_{c}") for c in old_cols])
-    b = fresh.select(*keys, F.lit(True).alias("_f"), *[F.col(c).alias(f"_n_{c}") for c in new_cols])
-    joined = a.join(b, keys, "full_outer" if insert else "left")
+    a = stored.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.lit(True).alias("_s"), *[F.col(c).alias(f"_o_{c}") for c in old_cols])
+    b = fresh.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.lit(True).alias("_f"), *[F.col(c).alias(f"_n_{c}") for c in new_cols])
+    same = all_of([F.col(f"_o_{k}").eqNullSafe(F.col(f"_n_{k}")) for k in keys])
+    joined = a.join(b, same, "full_outer" if insert else "left")
     is_stored = F.col("_s").isNotNull()
+    joined = joined.withColumns({k: F.when(is_stored, F.col(f"_o_{k}")).otherwise(F.col(f"_n_{k}")) for k in keys})
     if insert_when is not None:
         joined = joined.where(is_stored | insert_when)
     both = is_stored & F.col("_f").isNotNull()
+    known = [c for c in order if c in old_cols and c in new_cols]
+    newer = F.struct(*[F.col(f"_n_{c}") for c in known]) >= F.struct(*[F.col(f"_o_{c}") for c in known]) if known else F.lit(True)
+    allowed = newer if update_when is None else newer & update_when
+    wins = both & allowed & F.lit(policy not in (INSERT_IGNORE, FILL_NULL))
     out = []
     for c in old_cols + [c for c in new_cols if c not in old_cols]:
         old = F.col(f"_o_{c}") if c in old_cols else F.lit(None).cast(types[c])
@@ -83,9 +112,14 @@ def merge_frames(
             out.append(old.alias(c))
             continue
         new = F.col(f"_n_{c}").cast(types[c])
-        cell = _cell(policy, old, new, both, tol)
-        if update_when is not None:
-            cell = F.when(update_when, cell).otherwise(old)
+        if c in order or c in follow:
+            cell = F.when(wins, new).otherwise(old)
+        else:
+            cell = _cell(policy, old, new, both, tol)
+            if known:
+                cell = F.when(newer, cell).otherwise(F.coalesce(old, new) if policy == FILL_NULL else old)
+            if update_when is not None:
+                cell = F.when(update_when, cell).otherwise(old)
         out.append(F.when(is_stored, cell).otherwise(new).alias(c))
     return joined.select(*keys, *out)
 
@@ -143,6 +177,8 @@ def merge_into_parquet(
     policy: str,
     partition: str,
     tol: float = 0.0,
+    order: list[str] | None = None,
+    moves: bool = True,
 ) -> None:
     """Merge into a parquet table laid out by ``partition`` (e.g. month).
 
@@ -151,7 +187,16 @@ def merge_into_parquet(
     finished call gives the same table. A partition value that holds most rows is split
     over several writers. Columns that only some partitions have are kept, and a policy that
     adds no keys leaves an absent table absent.
+
+    Keys are unique: of fresh rows of one key the newest by ``order`` counts, and without an
+    ``order`` a repeated key is an error. With ``order`` the table keeps these columns, and a batch
+    that comes late does not undo a newer one. A key whose partition value has changed moves: its
+    old partition, found by a scan of the stored keys, is rewritten too. Where the partition
+    follows from the key, ``moves=False`` saves that scan.
     """
+    staged_fresh = scratch_path(spark, "fresh")
+    one_per_key(fresh, keys, order).write.parquet(staged_fresh)
+    fresh = spark.read.schema(fresh.schema).parquet(staged_fresh)
     try:
         stored = spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as error:
@@ -161,15 +206,32 @@ def merge_into_parquet(
             spread_writers(fresh, partition, keys).write.partitionBy(partition).parquet(path)
         return
     fresh = fresh.withColumn(partition, F.col(partition).cast(dict(stored.dtypes)[partition]))
+    values = fresh.select(F.col(partition).alias("_p"), F.lit(False).alias("_old"))
+    if moves and partition not in keys:
+        same = all_of([F.col(f"_o_{k}").eqNullSafe(F.col(f"_n_{k}")) for k in keys])
+        old = stored.select(F.col(partition).alias("_p"), *[F.col(k).alias(f"_o_{k}") for k in keys])
+        old = old.join(fresh.select(*[F.col(k).alias(f"_n_{k}") for k in keys]), same, "left_semi")
+        values = values.unionAll(old.select("_p", F.lit(True).alias("_old")))
+    # written, as the stored files it was found in are replaced below
+    staged_values = scratch_path(spark, "touched")
+    values.groupBy("_p").agg(F.max("_old").alias("_old")).write.parquet(staged_values)
+    touched = spark.read.parquet(staged_values)
     # A semi join on the partition column prunes the stored table while the query runs.
-    touched = stored.join(fresh.select(partition).distinct(), partition, "left_semi").select(*stored.columns)
-    merged = merge_frames(touched, fresh, [*keys, partition], policy, tol)
+    before = stored.join(touched, F.col(partition).eqNullSafe(F.col("_p")), "left_semi")
+    merged = merge_frames(before, fresh, keys, policy, tol, order=order, follow=[partition])
     staged = scratch_path(spark, "merge")
     merged.write.parquet(staged)
+    after = spark.read.schema(merged.schema).parquet(staged)
     (
-        spread_writers(spark.read.parquet(staged), partition, keys)
+        spread_writers(after, partition, keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
         .parquet(path)
     )
+    if moves and partition not in keys:
+        # a partition that all its rows have left is not part of what was written
+        left = touched.where("_old").join(after.select(F.col(partition).alias("_q")).distinct(), F.col("_p").eqNullSafe(F.col("_q")), "left_anti")
+        rest = spark.createDataFrame([], stored.drop(partition).schema)
+        for row in left.collect():
+            rest.write.mode("overwrite").parquet(f"{path}/{partition}={'__HIVE_DEFAULT_PARTITION__' if row['_p'] is None else row['_p']}")

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridhour.functions import clock
-from gridhour.functions.numbers import band, percent
+from gridhour.functions.numbers import any_of, band, percent
 from gridhour.operators.joins import join_groups
 
-BINS = 65536
+#: Rank error of a quantile sketch is at most one in so many.
+ACCURACY = 10_000
+#: A bracket reaches this many rank errors to either side of the wanted rank.
+BRACKET = 4
 
 
 def to_long(df: DataFrame, cols: list[str], ids: list[str] | None = None) -> DataFrame:
@@ -46,58 +49,59 @@ def null_bands(df: DataFrame, cols: list[str]) -> DataFrame:
     return share.withColumn("level", band(F.col("pct_null"), [5.0, 20.0, 100.0], ["ok", "review", "alert"]))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str, ...] = (), accuracy: int = ACCURACY) -> DataFrame:
     """Exact, linearly interpolated quantiles, one row per group and probability.
 
-    Spark's own exact percentile keeps every distinct value of a group in one task. Here
-    values are first reduced to (value, count), counted in 65,536 bins of a monotone scale
-    (signed log), and only the bins that hold a wanted rank are looked into. Every step
-    merges partially, and a window sees at most the bins of a group or the distinct values
-    of one bin.
+    Spark's own exact percentile keeps every distinct value of a group in one task. Here a
+    first pass brackets each wanted rank between two values by mergeable sketches whose rank
+    error is at most ``1 / accuracy``. A second pass counts the values outside the brackets,
+    one row per gap, and keeps those inside as (value, count); only these are put in order,
+    at most ``8 / accuracy`` of a group's rows for each probability, however its values lie.
+    The input is read twice. A rank outside its bracket would be an error, never a wrong value.
+
+    NULL and NaN do not count; groups of other values give no row; a NULL group is a group.
     """
     by = list(by)
+    probs = sorted({float(p) for p in probs})
     v = F.col(value).cast("double")
-    counted = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("v")).agg(F.count("*").alias("c"))
-    scaled = counted.withColumn("s", F.signum("v") * F.log1p(F.abs("v")))
-    ends = scaled.groupBy(*by).agg(F.min("s").alias("s0"), F.max("s").alias("s1"), F.sum("c").alias("n"))
-    width = F.col("s1") - F.col("s0")
-    slot = F.when(width > 0, F.least(F.floor((F.col("s") - F.col("s0")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
+    rows = df.select(*by, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    reach = BRACKET / accuracy
+    ends = [e for p in probs for e in (max(0.0, p - reach), min(1.0, p + reach))]
+    sketch = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.percentile_approx("v", ends, accuracy).alias("e")
+    )
+    # a small group is opened whole, as there one rank is more than the reach
+    small = F.col("n") <= accuracy
+
+    def end(i: int) -> Column:
+        outer = {0.0: F.col("v0"), 1.0: F.col("v1")}.get(ends[i], F.col("e")[i])
+        return F.when(small, F.col("v1" if i % 2 else "v0")).otherwise(outer).alias(f"e{i}")
+
+    brackets = sketch.select(*by, "n", *[end(i) for i in range(len(ends))])
     if by:
-        placed = join_groups(scaled, ends, by).withColumn("slot", slot.cast("int"))
+        placed = join_groups(rows, brackets, by)
     else:
-        # One row of totals, read back as scalars: no join on a constant key.
-        placed = scaled.select(
-            "*",
-            ends.select("s0").scalar().alias("s0"),
-            ends.select("s1").scalar().alias("s1"),
-            ends.select("n").scalar().alias("n"),
-        ).withColumn("slot", slot.cast("int"))
-    bins = placed.groupBy(*by, "slot").agg(F.sum("c").alias("bc"), F.max("n").alias("n"))
-    up = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    bins = bins.withColumn("upto", F.sum("bc").over(up)).withColumn("below", F.col("upto") - F.col("bc"))
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(hi).alias("hi")) for p in probs for hi in (0, 1)])
-    ranks = bins.withColumn("w", F.explode(wanted)).select(
-        *by, "slot", "below", "upto", "n", F.col("w.prob").alias("prob"), F.col("w.hi").alias("hi")
-    )
+        # one row of bounds, read back as a scalar: no join on a constant key
+        bound = brackets.select(F.struct("*").alias("b")).scalar()
+        placed = rows.select("v", bound.alias("b")).select("v", "b.*")
+    pairs = [(F.col(f"e{2 * i}"), F.col(f"e{2 * i + 1}")) for i in range(len(probs))]
+    inside = any_of([(F.col("v") >= lo) & (F.col("v") <= hi) for lo, hi in pairs])
+    passed = [F.when(F.col("v") > hi, hi) for _, hi in pairs]
+    last = F.greatest(*passed) if len(passed) > 1 else passed[0]
+    # a gap stands right after the end of the last bracket before it
+    counted = placed.groupBy(*by, F.when(inside, F.col("v")).otherwise(last).alias("v"), (~inside).alias("gap")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    up = Window.partitionBy(*by).orderBy(F.asc_nulls_first("v"), "gap").rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumn("upto", F.sum("c").over(up)).withColumn("below", F.col("upto") - F.col("c"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(hi).alias("hi")) for p in probs for hi in (0, 1)])).alias("w")
+    ranks = run.select(*by, "v", "gap", "below", "upto", "n", wanted).select(*by, "v", "gap", "below", "upto", "n", "w.prob", "w.hi")
     position = F.col("prob") * (F.col("n") - 1)
     rank = F.when(F.col("hi") == 1, F.ceil(position)).otherwise(F.floor(position))
-    hits = ranks.withColumn("rank", rank).where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-    keys = [*by, "slot"]
-    # At most two ranks per probability fall into one bin, so the lists are short.
-    asked = F.struct("prob", "hi", "n", (F.col("rank") - F.col("below")).alias("inside"))
-    needed = hits.groupBy(*keys).agg(F.collect_list(asked).alias("asked"))
-    within = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cells = placed.select(*keys, "v", "c").transform(join_groups, needed, keys).withColumn("run", F.sum("c").over(within))
-    found = (
-        cells.select(*by, "v", "run", F.explode("asked").alias("a"))
-        .where(F.col("run") > F.col("a.inside"))
-        .groupBy(*by, F.col("a.prob").alias("prob"), F.col("a.n").alias("n"))
-        .agg(
-            F.min(F.when(F.col("a.hi") == 0, F.col("v"))).alias("lo"),
-            F.min(F.when(F.col("a.hi") == 1, F.col("v"))).alias("up"),
-        )
+    hits = ranks.where((F.col("below") <= rank) & (rank < F.col("upto")))
+    sure = F.when(F.col("gap"), F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(F.col("v"))
+    found = hits.withColumn("v", sure).groupBy(*by, "prob", "n").agg(
+        F.min(F.when(F.col("hi") == 0, F.col("v"))).alias("lo"), F.min(F.when(F.col("hi") == 1, F.col("v"))).alias("up")
     )
-    part = F.col("prob") * (F.col("n") - 1) - F.floor(F.col("prob") * (F.col("n") - 1))
+    part = position - F.floor(position)
     return found.select(*by, "prob", (F.col("lo") + (F.col("up") - F.col("lo")) * part).alias("q"))
 
 
@@ -129,17 +133,22 @@ def describe(df: DataFrame, cols: list[str], percentiles: dict[str, float], ids:
 
 
 def iqr_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Values outside 1.5 interquartile ranges per column."""
-    long = to_long(df, cols)
-    quart = quantile_columns(long, "value", {"q1": 0.25, "q3": 0.75}, ("column_name",))
-    reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    outside = (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)
-    counted = long.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("c"))
-    return (
-        counted.join(quart, "column_name")
-        .groupBy("column_name", "q1", "q3")
-        .agg(F.sum(F.when(outside, F.col("c")).otherwise(0)).alias("n_outliers"))
-    )
+    """Values outside 1.5 interquartile ranges per column.
+
+    The outliers of all columns are counted in one pass over the table as it is, against one
+    row of quartiles.
+    """
+    quart = quantile_columns(to_long(df, cols), "value", {"q1": 0.25, "q3": 0.75}, ("column_name",))
+    limits = quart.agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("q1", "q3")))).alias("m")).scalar()
+
+    def outside(c: str) -> Column:
+        q, v = F.col("m")[c], F.col(c).cast("double")
+        reach = F.lit(1.5) * (q["q3"] - q["q1"])
+        return F.count_if((v < q["q1"] - reach) | (v > q["q3"] + reach))
+
+    cells = [F.struct(F.lit(c).alias("column_name"), F.max(F.col("m")[c]).alias("q"), outside(c).alias("n_outliers")) for c in cols]
+    one = df.select(*cols, limits.alias("m")).agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("x"))
+    return one.where("x.q IS NOT NULL").select("x.column_name", "x.q.q1", "x.q.q3", "x.n_outliers")
 
 
 def constant_columns(df: DataFrame, cols: list[str], min_values: int = 100) -> DataFrame:
@@ -185,6 +194,24 @@ def distinct_counts(df: DataFrame, cols: list[str], by: tuple[str, ...] = ()) ->
     return unique.groupBy(*by, "column_name").agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n_values"))
 
 
+def key_bitmaps(df: DataFrame, cols: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct values of whole-number columns as mergeable bitmaps: ``column_name, bucket, bits, n_values``.
+
+    A row holds 32,768 neighbouring numbers of a group and column in 4 KB, so dense keys cost a bit
+    a value instead of a row, and stored bitmaps of parts merge to those of the whole.
+    """
+    same = df.select(*by, *[F.col(c).cast("bigint").alias(c) for c in cols])
+    long = same.unpivot(list(by), cols, "column_name", "value").where(F.col("value").isNotNull())
+    bucket = F.bitmap_bucket_number("value").alias("bucket")
+    return long.groupBy(*by, "column_name", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("value")).alias("bits"), F.count("*").alias("n_values"))
+
+
+def count_bitmaps(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact distinct values per group and column from the bitmaps of finer groups."""
+    merged = parts.groupBy(*by, "column_name", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.sum("n_values").alias("n_values"))
+    return merged.groupBy(*by, "column_name").agg(F.sum(F.bitmap_count("bits")).alias("n_distinct"), F.sum("n_values").alias("n_values"))
+
+
 def value_counts(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy(*cols).agg(F.count("*").alias("n"))
 

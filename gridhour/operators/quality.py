@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridhour.functions import clock
@@ -119,12 +119,16 @@ def pair_summary(marked: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def worst_days(marked: DataFrame, n: int = 5) -> DataFrame:
-    """Top days by flagged hours: a report of n rows by design."""
-    days = marked.where("suspect").groupBy("day").agg(
+def worst_days(marked: DataFrame, n: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Top days by flagged hours: a report of n rows, of each group with its place, by design."""
+    days = marked.where("suspect").groupBy(*keys, "day").agg(
         F.count("*").alias("n_suspect"), F.avg("diff_abs").alias("diff_mean"), F.max("diff_abs").alias("diff_max")
     )
-    return days.orderBy(F.desc("n_suspect"), "day").limit(n)
+    if not keys:
+        return days.orderBy(F.desc("n_suspect"), "day").limit(n)
+    # tasks drop all but their first n days of a group before these meet
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n_suspect"), "day"))
+    return days.withColumn("place", place).where(F.col("place") <= n)
 
 
 def zone_spread(long: DataFrame, base: DataFrame, zone: str, ts: str, value: str, split_tol: float = 1.0) -> DataFrame:

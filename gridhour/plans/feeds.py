@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridhour import registry as reg
 from gridhour.functions import clock, energy
@@ -12,6 +13,12 @@ from gridhour.functions.numbers import half_up, sum_if_any, within
 from gridhour.operators import align, dedupe, futures, joins, merge, quality, resample
 from gridhour.operators import weather as wx
 from gridhour.sources import indicators, market_files, trades
+from gridhour.sources.tables import discover_prices
+
+log = logging.getLogger(__name__)
+
+#: Unmapped codes that a load names in its warnings, the most frequent first.
+UNMAPPED_SHOWN = 50
 
 
 # Prices --------------------------------------------------------------------------------
@@ -43,10 +50,11 @@ def spot_price_load(
 ) -> DataFrame:
     """Price table after loading the three sources into the price columns it has.
 
-    Each source changes its own columns and only where it has a value: an hour or a column
-    that was not delivered keeps what is stored, and so does every column that is no price.
+    Price columns are discovered by their names, zone and source. Each source changes its own
+    columns and only where it has a value: an hour or a column that was not delivered keeps what
+    is stored, and so does every column that is no price, numbers included.
     """
-    prices = [f.name for f in stored.schema.fields if f.name != "ts" and isinstance(f.dataType, T.NumericType)]
+    prices = discover_prices(stored, "ts")[0]
     omie, long = spot_prices(files, readings, zones, expected)
     landed = [c for c in ("es_omie", "pt_omie") if c in prices]
     others = [c for c in prices if c not in landed]
@@ -77,8 +85,15 @@ def generation_frame(readings: DataFrame, codes: dict[str, list[str]] = reg.GENE
     return hourly.select("ts", *[half_up(F.col(c), 2).alias(c) for c in codes])
 
 
-def generation_load(stored: DataFrame, readings: DataFrame, codes: dict[str, list[str]] = reg.GENERATION_CODES) -> DataFrame:
-    """Generation table after a load: new hours inserted, gaps of stored hours filled."""
+def generation_load(stored: DataFrame, readings: DataFrame, codes: dict[str, list[str]] = reg.GENERATION_CODES, guard: bool = True) -> DataFrame:
+    """Generation table after a load: new hours inserted, gaps of stored hours filled.
+
+    ``guard`` first counts the codes that no column takes and warns of each: a new code would
+    otherwise vanish from the totals without a trace. It reads the codes once more.
+    """
+    if guard:
+        for r in resample.unmapped_codes(readings, "code", codes).orderBy(F.desc("n_rows"), "code").limit(UNMAPPED_SHOWN).collect():
+            log.warning("%d readings have the code %r, which no column takes", r["n_rows"], r["code"])
     return merge.merge_frames(stored, generation_frame(readings, codes), ["ts"], merge.FILL_NULL)
 
 
@@ -200,9 +215,14 @@ def commodities_load(stored: DataFrame, closes: list[DataFrame], gas: DataFrame,
 # Weather --------------------------------------------------------------------------------
 
 
-def reanalysis_aggregate(grid: DataFrame) -> DataFrame:
-    """Grid cells (already one version each) to one row per instant; hourly totals become
-    W/m2 and mm."""
+def reanalysis_aggregate(grid: DataFrame, version: str | None = None) -> DataFrame:
+    """Grid cells to one row per instant; hourly totals become W/m2 and mm.
+
+    ``version`` names a column whose least value is the final version: of several rows of a cell
+    and instant each field comes from the best version that has it, before anything is averaged.
+    """
+    if version is not None:
+        grid = dedupe.combine_versions(grid, ["ts", "lat", "lon"], version, [c for c in grid.columns if c not in ("ts", "lat", "lon", version)])
     g = wx.with_wind(wx.with_wind(wx.crop(grid, **_box()), "10"), "100")
     g = g.withColumns({"ssrd": energy.joules_to_watts(F.col("ssrd")), "tp": energy.metres_to_mm(F.col("tp"))})
     return wx.position_in_month(wx.spatial_mean(g, _mean_columns(), ["ts"]), "ts")
@@ -227,9 +247,13 @@ def _mean_columns() -> list[str]:
 # Recompute ------------------------------------------------------------------------------
 
 
-def backfill(stored: DataFrame, fresh: DataFrame, keys: list[str], cols: list[str], tol: float = 0.01) -> DataFrame:
-    """Stored rows corrected where the recomputed value differs; no rows are added."""
-    rounded = fresh.select(*keys, *[half_up(F.col(c), 2).alias(c) for c in cols])
+def backfill(stored: DataFrame, fresh: DataFrame, keys: list[str], cols: list[str], tol: float = 0.01, control: tuple[str, ...] = ()) -> DataFrame:
+    """Stored rows corrected where the recomputed value differs; no rows are added.
+
+    Control columns are only compared, in :func:`backfill_report`: the error never touched them,
+    so a difference there tells that the recomputation is wrong, and they keep what is stored.
+    """
+    rounded = fresh.select(*keys, *[half_up(F.col(c), 2).alias(c) for c in cols if c not in control])
     return merge.merge_frames(stored, rounded, keys, merge.OVERWRITE_DIFFERENT, tol, insert=False)
 
 

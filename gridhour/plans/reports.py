@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridhour import registry as reg
-from gridhour.operators import profile, quality
+from gridhour.functions.numbers import sum_null_as_zero
+from gridhour.operators import joins, profile, quality
 from gridhour.operators.resample import union_all
 
 
@@ -36,13 +37,44 @@ def column_report(df: DataFrame, cols: list[str], name: str) -> DataFrame:
 
 def control_report(tables: dict[str, DataFrame], pairs: dict = reg.CONTROL_PAIRS, prob: float = 0.99) -> DataFrame:
     """Flagged hours of every source pair, labelled by pair; one threshold per pair."""
-    frames = []
+    return marked_pairs(tables, pairs, prob).where("suspect").drop("suspect")
+
+
+def control_differences(tables: dict[str, DataFrame], pairs: dict = reg.CONTROL_PAIRS) -> DataFrame:
+    """``ts, day, variable, winner, loser, diff_abs`` of all source pairs, tables as they are scanned.
+
+    The time column of a table is that of the registry, else ``ts``. Pairs between the same two
+    tables share one join, which carries the row sums of all of them, so each table is read once
+    however many pairs it is in.
+    """
+    between: dict[frozenset, list] = {}
     for name, (kept, kept_cols, other, other_cols) in pairs.items():
-        a, b = tables[kept], tables[other]
-        diff = quality.pair_difference(a, b, list(kept_cols), list(other_cols))
-        frames.append(diff.withColumn("variable", F.lit(name)))
-    marked = quality.flag_above_quantile(union_all(frames), prob, ("variable",))
-    return marked.where("suspect").drop("suspect")
+        between.setdefault(frozenset((kept, other)), []).append((name, kept, kept_cols, other, other_cols))
+
+    def sums(table: str, group: list) -> DataFrame:
+        spec = reg.BRONZE_TABLES.get(table)
+        ts = spec.time_col if spec is not None and spec.time_col in tables[table].columns else "ts"
+        cells = {f"{name}_{side}": cols for name, *both in group for side, t, cols in (("winner", *both[:2]), ("loser", *both[2:])) if t == table}
+        return tables[table].select(F.col(ts).alias("ts"), *[sum_null_as_zero(list(cols)).alias(n) for n, cols in cells.items()])
+
+    frames = []
+    for ends, group in between.items():
+        sides = [sums(t, group) for t in sorted(ends)]
+        both = joins.pair_on_key(*sides, ["ts"]) if len(sides) == 2 else sides[0]
+        cells = [F.struct(F.lit(n).alias("variable"), F.col(f"{n}_winner").alias("winner"), F.col(f"{n}_loser").alias("loser")) for n, *_ in group]
+        frames.append(both.select("ts", F.explode(F.array(*cells)).alias("x")).select("ts", F.to_date("ts").alias("day"), "x.*"))
+    return union_all(frames).withColumn("diff_abs", F.abs(F.col("winner") - F.col("loser")))
+
+
+def marked_pairs(tables: dict[str, DataFrame], pairs: dict = reg.CONTROL_PAIRS, prob: float = 0.99) -> DataFrame:
+    return quality.flag_above_quantile(control_differences(tables, pairs), prob, ("variable",))
+
+
+def control_summary(marked: DataFrame, n: int = 5) -> DataFrame:
+    """Per pair: hours, threshold, flagged hours, and its ``n`` worst days, worst first."""
+    days = quality.worst_days(marked, n, ("variable",))
+    listed = days.groupBy("variable").agg(F.array_sort(F.collect_list(F.struct("place", "day", "n_suspect", "diff_mean", "diff_max"))).alias("worst"))
+    return quality.pair_summary(marked, ("variable",)).join(listed, "variable", "left")
 
 
 def price_report(df: DataFrame, cols: list[str], base: str, others: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from gridhour.queries import surrogates as s
 from gridhour.queries.base import big, day, day_length, ldate, lhour, num, query, stamp, table
 
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-SERIES = ["view", "signup", "error", "click"]
+SERIES = ["view", "signup", "error", "click", "purchase"]
 
 
 def _stack(sql_of, cols: list[str], frm: str) -> str:

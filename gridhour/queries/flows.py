@@ -459,12 +459,12 @@ def commodities_load(spark, sf):
     "C15 M03 J15",
     f"""WITH {s.STORED_FRESH}, n AS (SELECT ts, round(a + 1e-9, 2) AS a, round(b + 1e-9, 2) AS b FROM fresh)
  SELECT {stamp('o.ts')} AS ts, {num('CASE WHEN n.a IS NOT NULL AND (o.a IS NULL OR abs(o.a - n.a) > 0.01) THEN n.a ELSE o.a END')} AS a,
- {num('CASE WHEN n.b IS NOT NULL AND (o.b IS NULL OR abs(o.b - n.b) > 0.01) THEN n.b ELSE o.b END')} AS b FROM stored o LEFT JOIN n USING (ts)""",
+ {num('o.b')} AS b FROM stored o LEFT JOIN n USING (ts)""",
 )
 def backfill_recompute(spark, sf):
     stored, fresh = s.stored_and_fresh(spark, sf)
     nudged = fresh.select("ts", (F.col("a") + 1e-9).alias("a"), (F.col("b") + 1e-9).alias("b"))
-    return feeds.backfill(stored, nudged, ["ts"], ["a", "b"])
+    return feeds.backfill(stored, nudged, ["ts"], ["a", "b"], control=("b",))
 
 
 @query(

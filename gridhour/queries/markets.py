@@ -268,13 +268,12 @@ def geo_kinds(spark, sf):
 @query(
     "regions_wide",
     "A09 A33 Q14",
-    f"""WITH d AS (SELECT CAST(ts AS DATE) AS d, avg(value) FILTER (WHERE event_type = 'view') AS "view",
- avg(value) FILTER (WHERE event_type = 'click') AS click FROM events GROUP BY 1)
- SELECT {day('d')} AS day, {num('"view"')} AS "view", {num('click')} AS click, {num('coalesce("view", 0) + coalesce(click, 0)')} AS regions_total FROM d""",
+    f"""WITH d AS (SELECT CAST(ts AS DATE) AS d, {', '.join(f"avg(value) FILTER (WHERE event_type = '{t}') AS v_{t}" for t in s.TYPES)} FROM events GROUP BY 1)
+ SELECT {day('d')} AS day, {', '.join(f'{num(f"v_{t}")} AS "{t}"' for t in s.TYPES)}, {num(' + '.join(f'coalesce(v_{t}, 0)' for t in s.TYPES))} AS regions_total FROM d""",
 )
 def regions_wide(spark, sf):
     named = s.readings(spark, sf).select(F.to_date("ts").alias("day"), F.col("series").alias("geo_name"), "value")
-    return indicators.regions_wide(named, "day", ["view", "click"])
+    return indicators.regions_wide(named, "day", s.TYPES)
 
 
 @query(

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from gridhour.functions import clock
 from gridhour.functions.numbers import half_up
-from gridhour.operators import merge
+from gridhour.operators import futures, merge
 from gridhour.queries import surrogates as s
-from gridhour.queries.base import big, day, day_length, ldate, num, query, stamp, table
+from gridhour.queries.base import big, day, day_length, ldate, local, num, query, stamp, table
 from gridhour.session import scratch_path
 from gridhour.streaming import feeds
 
@@ -61,6 +61,44 @@ def stream_dedupe(spark, sf):
     return _drained(spark, once, "dedupe", ["event_id"], "append").select("event_id", "ts", "value")
 
 
+def _landed_in_turn(spark, df, ts, name, start, turns=3):
+    """Write ``df`` in time order as ``turns`` landings, and run the stream after each of them."""
+    root = scratch_path(spark, name)
+    cuts = df.agg(F.percentile_approx(F.unix_micros(ts), [i / turns for i in range(1, turns)], 1000).alias("c")).first()["c"] or []
+    edges = [None, *cuts, None]
+    for i, (low, high) in enumerate(zip(edges, edges[1:])):
+        at = F.unix_micros(ts)
+        part = df.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.write.parquet(f"{root}/landing={i}")
+        feeds.drain(start(feeds.read_landed(spark, f"{root}/*", df.schema)))
+
+
+@query(
+    "stream_trades_to_bars",
+    "T03 T04 A10",
+    f"""WITH {s.TRADES}, t AS (SELECT *, {ldate('deal_date')} AS d FROM trades),
+ w AS (SELECT max({local('deal_date')}) - INTERVAL 2 DAY AS mark FROM trades)
+ SELECT {day('d')} AS fecha, commodity, periodo, {big('min(item_id)')} AS item_id,
+ {num('arg_min(precio, (deal_date, trade_id))')} AS apertura, {num('max(precio)')} AS maximo, {num('min(precio)')} AS minimo,
+ {num('arg_max(precio, (deal_date, trade_id))')} AS cierre,
+ {num('((2000 * sum(CAST(round(precio * 10000) AS HUGEINT) * greatest(cantidad, 1)) + 10000 * sum(greatest(cantidad, 1))) // (20000 * sum(greatest(cantidad, 1)))) / 1000.0')} AS vwap, {big('sum(greatest(cantidad, 1))')} AS volumen,
+ {big('count(*)')} AS n_trades, {num('round(100.0 * count(*) FILTER (WHERE agresor_compra) / count(*), 1)')} AS pct_agresor_compra
+ FROM t, w WHERE CAST(d + 1 AS TIMESTAMP) <= mark GROUP BY d, commodity, periodo""",
+)
+def stream_trades_to_bars(spark, sf):
+    """A trade log in three landings; every trade comes again with the next day's trades."""
+    trades = s.trades(spark, sf).withColumn("precio", F.col("precio").cast("decimal(18,4)"))
+    seen = trades.withColumn("seen", F.explode(F.array(F.col("deal_date"), F.col("deal_date") + F.expr("INTERVAL 1 DAY"))))
+    out, state = scratch_path(spark, "trade-bars"), feeds.state_path(spark, "trade-bars")
+
+    def start(stream):
+        bars = feeds.trade_bars(stream, "deal_date", "trade_id", ["commodity", "periodo"], futures.bar_measures())
+        return feeds.start_versions(bars, out, state, "append")
+
+    _landed_in_turn(spark, seen, "seen", "trades", start)
+    return spark.read.parquet(out).drop("batch")
+
+
 @query(
     "stream_ohlc",
     "T04 A10",
@@ -106,12 +144,14 @@ _LATE = f"""{s.STORED_FRESH}, f AS (SELECT date_trunc('hour', ts) AS ts, arg_max
 @query(
     "stream_late_fill",
     "T01 M02",
-    f"""WITH {_LATE} SELECT {stamp('ts')} AS ts, {num('coalesce(o.a, f.a)')} AS a FROM stored o FULL JOIN f USING (ts)""",
+    f"""WITH {_LATE}, n AS (SELECT greatest((SELECT max(ts) FROM stored), (SELECT max(ts) FROM f)) AS t),
+ g AS (SELECT f.* FROM f, n WHERE f.ts >= n.t - INTERVAL 14 DAY)
+ SELECT {stamp('ts')} AS ts, {num('coalesce(o.a, g.a)')} AS a FROM stored o FULL JOIN g USING (ts)""",
 )
 def stream_late_fill(spark, sf):
     path = _stored_table(spark, sf, "late-table")
     q = feeds.start_merge(
-        _fresh_cells(spark, sf), path, ["ts"], ["seen", "event_id"], merge.FILL_NULL, feeds.state_path(spark, "late"), "part"
+        _fresh_cells(spark, sf), path, ["ts"], ["seen", "event_id"], merge.FILL_NULL, feeds.state_path(spark, "late"), "part", review_days=14
     )
     feeds.drain(q)
     return spark.read.parquet(path).select("ts", "a")
@@ -148,6 +188,36 @@ def stream_closed_days(spark, sf):
     return _drained(spark, feeds.closed_days(_stream(spark, sf), "ts", "series"), "closed", ["day", "series"], "append")
 
 
+_CLOSED = f"""e AS (SELECT event_type AS series, ts, value, {ldate('ts')} AS d, date_trunc('hour', ts) AS h FROM events),
+ w AS (SELECT max({local('ts')}) - INTERVAL 1 DAY AS mark FROM events),
+ days AS (SELECT d, {day_length('d')} AS n_expected, count(DISTINCT h) AS n_rows,
+ count(DISTINCT h) FILTER (WHERE series = 'view' AND value > 20) AS v, count(DISTINCT h) FILTER (WHERE series = 'click' AND value > 20) AS c,
+ count(DISTINCT h) FILTER (WHERE series = 'error' AND value > 20) AS r, count(DISTINCT h) FILTER (WHERE series = 'purchase' AND value > 20) AS p
+ FROM e, w WHERE CAST(d + 1 AS TIMESTAMP) <= mark GROUP BY d)"""
+
+
+@query(
+    "stream_day_status",
+    "T06 Q02",
+    f"""WITH {_CLOSED} SELECT {day('d')} AS day, n_expected, {big('n_rows')} AS n_rows,
+ {big('n_expected - v + n_expected - c')} AS missing_critical, {big('n_expected - r + n_expected')} AS missing_recoverable,
+ {big('n_expected - p')} AS missing_sporadic, n_expected - v <= 2 AND n_expected - c <= 6 AS critical_ok,
+ n_expected - v <= 2 AND n_expected - c <= 6 AND n_rows >= n_expected AS is_complete FROM days""",
+)
+def stream_day_status(spark, sf):
+    """Low readings count as missing; ``never`` is a column of the policy that no reading has."""
+    kinds = {"view": ("critical", 2), "click": ("critical", 6), "error": ("recoverable", 0), "never": ("recoverable", 0), "purchase": ("sporadic", 0)}
+    policy = spark.createDataFrame([(c, k, t) for c, (k, t) in kinds.items()], "column_name string, kind string, tolerance int")
+    readings = s.readings(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "series", F.when(F.col("value") > 20, F.col("value")).alias("value"))
+    out, state = scratch_path(spark, "day-status"), feeds.state_path(spark, "day-status")
+
+    def start(stream):
+        return feeds.start_versions(feeds.closed_day_status(stream, policy, "ts", "series", "value"), out, state, "append")
+
+    _landed_in_turn(spark, readings, "ts", "readings", start)
+    return spark.read.parquet(out).drop("batch")
+
+
 @query(
     "audit_of_runs",
     "S15",

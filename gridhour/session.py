@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +64,19 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_dir(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def instants_as_micros(spark: SparkSession) -> Iterator[None]:
+    """Writers inside keep instants as microseconds, which have extremes in the footers; the older
+    form that Spark writes by default has none."""
+    name = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread_writers(df: DataFrame, partition: str, keys: list[str], writers: int | None = None) -> DataFrame:
     """Bring the rows of each table partition to a few writers.
 

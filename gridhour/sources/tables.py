@@ -12,7 +12,7 @@ from gridhour.functions import labels
 from gridhour.functions.clock import month_floor
 from gridhour.functions.numbers import nan_to_null
 from gridhour.registry import AUDIT_COLUMNS, SOURCE_ZONES, TableSpec
-from gridhour.session import spread_writers
+from gridhour.session import instants_as_micros, spread_writers
 from gridhour.sources.schemas import AUDIT, conform
 
 log = logging.getLogger(__name__)
@@ -78,14 +78,15 @@ def write_hourly(df: DataFrame, path: str, ts: str) -> None:
     inside each file, so range filters skip row groups.
     """
     monthly = df.withColumn("month", F.date_format(month_floor(F.col(ts)), "yyyy-MM"))
-    (
-        spread_writers(monthly, "month", [ts])
-        .sortWithinPartitions("month", ts)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("month")
-        .parquet(path)
-    )
+    with instants_as_micros(df.sparkSession):
+        (
+            spread_writers(monthly, "month", [ts])
+            .sortWithinPartitions("month", ts)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("month")
+            .parquet(path)
+        )
 
 
 def write_csv(df: DataFrame, path: str) -> None:

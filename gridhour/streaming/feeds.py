@@ -7,6 +7,7 @@ few days. Sinks are idempotent, so a restarted batch leaves the same table.
 from __future__ import annotations
 
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -64,6 +65,60 @@ def closed_days(readings: DataFrame, ts: str, series: str, tz: str = clock.MADRI
     )
 
 
+def trade_bars(
+    trades: DataFrame, ts: str, trade_id: str, keys: list[str], aggs: list[Column], tz: str = clock.MADRID, delay: str = "2 days"
+) -> DataFrame:
+    """Local-day bars of a trade log that repeats trades, as one append stream.
+
+    Two stateful steps share one watermark on the local clock: ids are remembered for as long as
+    they may repeat, and a day's bar is given out once, when no trade of it can come any more. A
+    trade that comes later than ``delay`` is dropped, whether new or repeated.
+    """
+    local = trades.withColumn("local_ts", clock.local_ts(F.col(ts), tz)).withWatermark("local_ts", delay)
+    once = local.dropDuplicatesWithinWatermark([trade_id])
+    grouped = once.groupBy(F.window("local_ts", "1 day").alias("w"), *keys).agg(*aggs)
+    rest = [c for c in grouped.columns if c not in ("w", *keys)]
+    return grouped.select(F.to_date("w.start").alias("fecha"), *keys, *rest)
+
+
+def closed_day_status(
+    readings: DataFrame, policy: DataFrame, ts: str, column: str, value: str, tz: str = clock.MADRID, delay: str = "1 day"
+) -> DataFrame:
+    """Verdict on each local day under the column policy, once the watermark has closed it.
+
+    ``policy`` is a static table ``column_name, kind, tolerance``: critical columns may miss at
+    most their tolerance, recoverable and sporadic ones are counted. The stream is joined with it
+    and reduced twice: to the hours of a day and column, at most 25, and from there to the day. A
+    column without a single reading misses the whole day. Readings of columns that the policy does
+    not name only tell that their hour has a row.
+    """
+    kinds = ("critical", "recoverable", "sporadic")
+    totals = policy.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds]).first()
+    local = readings.withColumn("local_ts", clock.local_ts(F.col(ts), tz)).withWatermark("local_ts", delay)
+    known = local.join(policy, local[column] == policy["column_name"], "left").withColumn("_hour", F.date_trunc("hour", F.col(ts).cast("timestamp")))
+    hours = known.groupBy(F.window("local_ts", "1 day").alias("w"), "column_name", "kind", "tolerance").agg(
+        F.collect_set("_hour").alias("seen"), F.size(F.collect_set(F.when(F.col(value).isNotNull(), F.col("_hour")))).alias("filled")
+    )
+    length = clock.day_length(F.to_date("w.start"), tz)
+    of = hours.withColumn("n_expected", length).withColumn("missing", F.greatest(F.col("n_expected") - F.col("filled"), F.lit(0)))
+    bad = (F.col("kind") == "critical") & (F.col("missing") > F.col("tolerance"))
+    per_kind = [a for k in kinds for a in (F.sum(F.when(F.col("kind") == k, F.col("missing")).otherwise(0)).alias(f"_m_{k}"), F.count_if(F.col("kind") == k).alias(f"_n_{k}"))]
+    days = of.groupBy(F.window(F.window_time("w"), "1 day").alias("d")).agg(
+        F.max("n_expected").alias("n_expected"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n_rows"),
+        F.count_if(bad).alias("_bad"),
+        *per_kind,
+    )
+    absent = lambda k: F.lit(totals[k]) - F.col(f"_n_{k}")
+    missing = {k: (F.col(f"_m_{k}") + absent(k) * F.col("n_expected")).alias(f"missing_{k}") for k in kinds}
+    # an absent critical column misses more than any tolerance below a day
+    ok = (F.col("_bad") == 0) & (absent("critical") == 0)
+    return days.select(
+        F.to_date("d.start").alias("day"), "n_expected", "n_rows", *missing.values(), ok.alias("critical_ok"),
+        (ok & (F.col("n_rows") >= F.col("n_expected"))).alias("is_complete"),
+    )
+
+
 def start_versions(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Write every batch below ``path/batch=N``. A repeated batch replaces itself, and
     :func:`latest` reads the newest row per key. Meant for append streams; long-running
@@ -92,25 +147,43 @@ def start_merge(
     last_days: int | None = None,
     run_day: str | None = None,
     mode: str = "append",
+    review_days: int | None = None,
 ) -> StreamingQuery:
     """Merge each batch into a parquet table partitioned by month.
 
     An aggregated stream in ``update`` mode with ``upsert`` keeps the table at the newest
     value of each key; it never grows beyond its keys. With ``fill_null`` this is the review of late data; with ``overwrite_different`` the
     re-reading of days that the source revises after publication; ``last_days`` then limits
-    it to the local days up to ``run_day``, however the readings fall into batches.
+    it to the local days up to ``run_day``, however the readings fall into batches. ``review_days``
+    leaves out rows that are more days older than the newest row the table or the batch has:
+    what comes later than that is no longer reviewed.
+
+    ``order`` columns stay in the table, so that an older reading in a later batch does not undo
+    a newer one. The partition must follow from the keys.
     """
     if last_days is not None and run_day is None:
         raise ValueError("last_days needs the run_day that it counts back from")
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch if last_days is None else days_up_to(batch, keys[0], last_days, run_day)
-        once = dedupe.keep_last(batch, keys, order).drop(*[c for c in order if c not in keys]) if order else batch
-        merge.merge_into_parquet(batch.sparkSession, path, once, keys, policy, partition, tol)
+        batch = batch if review_days is None else reviewed(batch, path, keys[0], review_days)
+        merge.merge_into_parquet(batch.sparkSession, path, batch, keys, policy, partition, tol, order=order, moves=False)
 
     return _run(stream, write, checkpoint, mode)
 
 
+def reviewed(batch: DataFrame, path: str, ts: str, days: int) -> DataFrame:
+    """Rows of the batch at most ``days`` older than the newest row of the stored table or the batch."""
+    newest = batch.agg(F.max(ts).alias("m"))
+    try:
+        newest = newest.unionAll(batch.sparkSession.read.parquet(path).agg(F.max(ts).alias("m")))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    bound = newest.agg((F.max("m") - F.make_dt_interval(F.lit(days))).alias("b")).scalar()
+    return batch.where(F.col(ts) >= bound)
+
+
 def days_up_to(readings: DataFrame, ts: str, days: int, run_day: str, tz: str = clock.MADRID) -> DataFrame:
     """Readings of the last local days up to and with ``run_day``."""
     day = clock.local_date(F.col(ts), tz)

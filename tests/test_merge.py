@@ -123,3 +123,55 @@ def test_a_policy_without_inserts_leaves_an_absent_table_absent(spark, tmp_path)
     path = str(tmp_path / "t")
     merge.merge_into_parquet(spark, path, spark.createDataFrame([(1, 1.0, "m1")], "k int, a double, part string"), ["k"], merge.UPDATE_ONLY, "part")
     assert not (tmp_path / "t").exists()
+
+
+def merged(spark, path, rows, policy, **how):
+    merge.merge_into_parquet(spark, path, spark.createDataFrame(rows, "k int, a double, seen int, part string"), ["k"], policy, "part", **how)
+
+
+def kept(spark, path):
+    return sorted((tuple(r) for r in spark.read.option("mergeSchema", "true").parquet(path).select("k", "a", "seen", "part").collect()), key=repr)
+
+
+def test_every_policy_twice_gives_the_same_table(spark, tmp_path):
+    for policy in merge.POLICIES:
+        path = str(tmp_path / policy)
+        merged(spark, path, [(1, 1.0, 1, "m1"), (None, 2.0, 1, "m1"), (3, None, 1, "m2")], merge.UPSERT)
+        fresh = [(None, 5.0, 2, "m1"), (1, 6.0, 2, "m1"), (3, 7.0, 2, "m2"), (4, 8.0, 2, "m3")]
+        merged(spark, path, fresh, policy, tol=0.01)
+        once = kept(spark, path)
+        merged(spark, path, fresh, policy, tol=0.01)
+        assert kept(spark, path) == once
+        assert len(once) == (3 if policy in merge.NO_INSERT else 4) and len({r[0] for r in once}) == len(once)
+
+
+def test_repeated_fresh_keys_are_an_error_or_the_newest_counts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merged(spark, path, [(1, 1.0, 1, "m1")], merge.UPSERT)
+    twice = [(1, 2.0, 2, "m1"), (1, 3.0, 3, "m1"), (None, 4.0, 1, "m1"), (None, 5.0, 2, "m1")]
+    with pytest.raises(Exception, match="repeat a key"):
+        merged(spark, path, twice, merge.UPSERT)
+    merged(spark, path, twice, merge.UPSERT, order=["seen"])
+    assert kept(spark, path) == [(1, 3.0, 3, "m1"), (None, 5.0, 2, "m1")]
+
+
+def test_an_older_row_in_a_later_batch_changes_nothing(spark, tmp_path):
+    for policy, want in ((merge.UPSERT, 9.0), (merge.OVERWRITE_DIFFERENT, 9.0), (merge.PREFER_FRESH, 9.0), (merge.FILL_NULL, 1.0)):
+        path = str(tmp_path / policy)
+        merged(spark, path, [(1, 1.0, 1, "m1"), (2, None, 5, "m1")], merge.UPSERT, order=["seen"])
+        merged(spark, path, [(1, 9.0, 7, "m1")], policy, order=["seen"])
+        merged(spark, path, [(1, 4.0, 6 if policy != merge.FILL_NULL else 0, "m1"), (2, 3.0, 2, "m1")], policy, order=["seen"])
+        got = {r[0]: r[1] for r in kept(spark, path)}
+        assert got[1] == want and got[2] == (3.0 if policy == merge.FILL_NULL else None)
+
+
+def test_a_key_moves_with_its_partition(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merged(spark, path, [(1, 1.0, 1, "m1"), (2, 2.0, 1, "m1"), (3, 3.0, 1, "m2"), (4, 4.0, 1, None)], merge.UPSERT)
+    merged(spark, path, [(1, 9.0, 1, "m2"), (3, 8.0, 1, "m9"), (4, 7.0, 1, "m1")], merge.UPSERT)
+    assert kept(spark, path) == [(1, 9.0, 1, "m2"), (2, 2.0, 1, "m1"), (3, 8.0, 1, "m9"), (4, 7.0, 1, "m1")]
+    merged(spark, path, [(2, 5.0, 1, "m2"), (4, 5.0, 1, "m2")], merge.UPSERT)
+    assert kept(spark, path) == [(1, 9.0, 1, "m2"), (2, 5.0, 1, "m2"), (3, 8.0, 1, "m9"), (4, 5.0, 1, "m2")]
+    # a policy that keeps what is stored moves nothing
+    merged(spark, path, [(1, 0.0, 1, "m7")], merge.INSERT_IGNORE)
+    assert (1, 9.0, 1, "m2") in kept(spark, path)
