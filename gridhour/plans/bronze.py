@@ -54,15 +54,18 @@ def bronze_union(
     specs: dict[str, reg.TableSpec] = reg.BRONZE_TABLES,
     derived: tuple[reg.DerivedSpec, ...] = reg.BRONZE_DERIVED,
     anchor: str = reg.ANCHOR_TABLE,
+    cal: DataFrame | None = None,
 ) -> DataFrame:
     """All normalised tables on one hourly calendar; nothing is filled in.
 
     The calendar follows ``bounds`` or else the span of the anchor table, never the
-    accident of which other tables exist.
+    accident of which other tables exist. ``cal`` is a calendar that is stored already: where it
+    and the hourly tables share buckets of the instant, they join without a shuffle.
     """
-    if anchor not in tables:
-        raise ValueError(f"the calendar needs the anchor table {anchor}")
-    cal = calendar.hourly_calendar(calendar.hour_bounds(tables[anchor], "ts_utc") if bounds is None else bounds)
+    if cal is None:
+        if anchor not in tables:
+            raise ValueError(f"the calendar needs the anchor table {anchor}")
+        cal = calendar.hourly_calendar(calendar.hour_bounds(tables[anchor], "ts_utc") if bounds is None else bounds)
     return add_derived(joins.join_grains(cal, [(specs[n].grain, df) for n, df in tables.items()]), derived)
 
 
@@ -89,8 +92,15 @@ def clean_generation(entsoe: DataFrame, esios: DataFrame, ts: str = "datetime")
 
 
 def generation_refresh(entsoe: DataFrame, esios: DataFrame, stored: DataFrame, days: int = 7, ts: str = "datetime") -> DataFrame:
-    """Derived generation table after refreshing its most recent days."""
+    """Derived generation table after refreshing its most recent days.
+
+    Both sources and the stored table are cut to those days before they meet; older rows pass by
+    without a join.
+    """
     from gridhour.operators import merge
 
-    recent = joins.newer_than_window(entsoe, stored, ts, days)
-    return merge.merge_frames(stored, clean_generation(recent, esios, ts), [ts], merge.UPSERT)
+    bound = stored.agg((F.max(ts) - F.make_dt_interval(F.lit(days))).alias("b")).scalar()
+    recent = [joins.newer_than_window(df, stored, ts, days) for df in (entsoe, esios)]
+    newer = F.coalesce(F.col(ts) > bound, F.lit(False))
+    fresh = merge.merge_frames(stored.where(newer), clean_generation(*recent, ts), [ts], merge.UPSERT)
+    return stored.where(~newer).unionByName(fresh)

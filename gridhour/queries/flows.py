@@ -132,7 +132,7 @@ _SPINE_TABLES = ("entsoe_gen_data", "esios_gen", "load_inter", "esios_forecast_d
 
 @query(
     "hourly_spine",
-    "C01 J01 J02 J03 W04",
+    "C01 J01 J02 W04",
     f"""WITH {s.MODEL_TABLES}, comm AS (SELECT fecha, {_COMM_FILL} FROM commodities)
  SELECT {stamp('g.datetime')} AS ts, {day(ldate('g.datetime'))} AS fecha, """
     + ", ".join(f"{num(f'{a}.{c}')} AS {c}" for a, n in zip("gelf", _SPINE_TABLES) for c, _, _ in s.HOURLY_TABLES[n])
@@ -167,7 +167,7 @@ def _bronze_sql() -> str:
  LEFT JOIN esios_forecast_da f ON f.datetime = cal.ts LEFT JOIN commodities c ON c.fecha = {ldate('cal.ts')} LEFT JOIN era5_weather_agg w ON w.ts = cal.ts"""
 
 
-@query("bronze_union", "C04 C05 F03 J04 J05 J06 P05 P06 P07 P08 S04 D1", _bronze_sql())
+@query("bronze_union", "C04 F03 J04 J05 J06 P05 P06 P07 P08 S04 D1", _bronze_sql())
 def bronze_union(spark, sf):
     return bronze.bronze_union(bronze.normalized(s.model_tables(spark, sf)))
 
@@ -359,7 +359,7 @@ def spot_price_load(spark, sf):
 
 @query(
     "spot_price_three_sources",
-    "C09 S09 S13 Q04",
+    "C09 S09 Q04",
     f"""WITH {s.HOURLY}, p AS (SELECT ts, {ldate('ts')} AS d, round(price + 1e-9, 2) AS p FROM hourly),
  ok AS (SELECT d FROM p GROUP BY d HAVING count(*) = 24 OR (count(*) = 23 AND d = DATE '2024-03-31')),
  omie AS (SELECT ts, round(CASE WHEN day(d) % 2 = 0 THEN p ELSE p + 0.75 END + 1e-9, 2) AS es_omie FROM p JOIN ok USING (d)),

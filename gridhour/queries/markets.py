@@ -195,7 +195,7 @@ def deaccumulate(spark, sf):
 
 @query(
     "forecast_grid_mean",
-    "C14 W07 A32",
+    "W07 A32",
     f"""WITH {_RUNS} SELECT {day('run_date')} AS run_date, {stamp('valid_time')} AS ts, {num('avg(greatest(0, (ssrd - prev) / 10800 * 1000))')} AS ssrd_k_mean
  FROM d WHERE prev IS NOT NULL GROUP BY run_date, valid_time""",
 )

@@ -117,7 +117,15 @@ def stream_ohlc(spark, sf):
         half_up(F.sum(F.col("value") * qty) / F.sum(qty) + 1e-9, 3).alias("vwap"),
         F.count("*").alias("n_trades"),
     ]
-    return _drained(spark, feeds.bars_stream(_stream(spark, sf), "ts", ["series"], aggs), "ohlc", ["fecha", "series"])
+    path, state = scratch_path(spark, "ohlc-table"), feeds.state_path(spark, "ohlc")
+
+    def start(stream):
+        bars = feeds.bars_stream(stream, "ts", ["series"], aggs).withColumn("part", F.date_format("fecha", "yyyy-MM"))
+        return feeds.start_merge(bars, path, ["fecha", "series"], [], merge.UPSERT, state, "part", mode="update")
+
+    readings = s.readings(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    _landed_in_turn(spark, readings, "ts", "ohlc-readings", start, turns=2)
+    return spark.read.parquet(path).drop("part")
 
 
 def _stored_table(spark, sf, name):
