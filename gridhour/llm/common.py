@@ -41,7 +41,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def emptied(*frames: DataFrame) -> None:
+    """Free the disk of stored tables whose readers are done: what depends on them must be stored itself."""
+    for df in frames:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df.stored_at)
 
 
 def unused(df: DataFrame, name: str) -> str:
