@@ -6,15 +6,19 @@ of a window is the least hash among its 16-byte strings, which is the same where
 window stands, and neighbouring windows mostly share it. A run of windows with one key and
 the bytes they cover is a segment.
 
-1. Keys that stand in one document only cannot repeat. Only keys of two or more documents go
-   on, and only those segments are cut out.
+1. Keys that stand in one text only cannot repeat. Only keys of two or more texts go on, and only
+   those segments are cut out. A task that meets a key in several texts sends two of them to the
+   key's task and passes the others by, so a key of very many texts is two rows a task.
 2. Equal texts are grouped by their digest; all but the least id are removed as a whole and
    cut no segments.
-3. Equal segments are merged before the shuffle, so a passage on a third of all documents is
-   one row a task. Segments of a key meet; a suffix array over blocks of them, built by
-   two-stage sorting, brings equal windows together, and adjacent common prefixes of 50 bytes
-   or more mark them. Each window gets the least id it starts in.
-4. The marks are joined back to the segments and the removed runs to the documents.
+3. Segments of a key meet. Where the different segments of a key exceed a bound, their windows are
+   routed again by the next least hash, and where that is not enough by a hash of all 50 bytes, so
+   that no task has to sort more than the bound at a time.
+4. Equal segments are merged before the shuffle, so a passage on a third of all documents is
+   one row a task. A suffix array over blocks of them, built by two-stage sorting, brings equal
+   windows together, and adjacent common prefixes of 50 bytes or more mark them. Each window gets
+   the least id it starts in.
+5. The marks are joined back to the segments and the removed runs to the documents.
 """
 
 from __future__ import annotations
@@ -25,33 +29,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridhour.llm.common import query, stored, table
+from gridhour.llm.common import emptied, query, stored, table
 
 LENGTH, GRAM = 50, 16
-#: Bytes of segments that one suffix array covers (more if one key has more): its words stay in the cache.
+#: Bytes of segments that one suffix array covers: its words stay in the cache.
 BLOCK = 1 << 18
+#: A key whose different segments have more bytes is routed again; one suffix array has less than both together.
+HOT = 1 << 19
+#: Rows that a task holds while it merges segments.
+MERGED = 200_000
 LAST_ID = (1 << 63) - 1
 
 
-def window_keys(text: bytes) -> np.ndarray:
-    """The routing key of every 50-byte window of a text."""
-    hashed = np.frombuffer(text, np.uint8).astype(np.uint64)
-    step = 1
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    joined = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x632BE59BD9B4E019))
+    return (joined ^ (joined >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _grams(buffer: np.ndarray) -> np.ndarray:
+    """A hash of the 16 bytes from each position on."""
+    hashed, step = buffer.astype(np.uint64), 1
     while step < GRAM:
-        joined = hashed[:-step] * np.uint64(0x9E3779B97F4A7C15) ^ (hashed[step:] + np.uint64(0x632BE59BD9B4E019))
-        hashed = (joined ^ (joined >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashed = _mixed(hashed[:-step], hashed[step:])
         step *= 2
-    hashed ^= hashed >> np.uint64(32)
+    return hashed ^ (hashed >> np.uint64(32))
+
+
+def _least(hashed: np.ndarray) -> np.ndarray:
+    """The least hash inside each 50-byte window."""
     width, n = LENGTH - GRAM + 1, len(hashed) - (LENGTH - GRAM)
     least, span = hashed, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    return np.minimum(least[:n], least[width - span : width - span + n]).view(np.int64)
+    return np.minimum(least[:n], least[width - span : width - span + n])
+
+
+def window_keys(text: bytes) -> np.ndarray:
+    """The routing key of every 50-byte window of a text."""
+    return _least(_grams(np.frombuffer(text, np.uint8))).view(np.int64)
+
+
+def next_least(buffer: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Second routing key: the least hash of each window other than the first key (of each position)."""
+    hashed = _grams(buffer)
+    # hashed anew, so that what is frequent under the first order is not least under this one as well
+    again = _mixed(hashed, hashed)
+    again[hashed == key.view(np.uint64)[: len(hashed)]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return _least(again)
+
+
+def whole_window(buffer: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Last routing key: a hash of all bytes of each window."""
+    hashed, n = _grams(buffer), len(buffer) - LENGTH + 1
+    out = hashed[:n]
+    for at in (GRAM, 2 * GRAM, LENGTH - GRAM):
+        out = _mixed(out, hashed[at : at + n])
+    return out
 
 
 def window_runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,9 +203,10 @@ def least_ids(segments: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Ids as longs (null: the last), texts as bytes, and 64 bits that tell texts of one id apart."""
+    """The id as it is and as a long (null, or not a number: the last), the text as bytes, and a hash that stands for the row."""
     raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), raw.alias("text")).withColumn("tag", F.xxhash64("text"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).try_cast("long"), F.lit(LAST_ID)).alias("id"), raw.alias("text"))
+    return texts.withColumn("row", F.xxhash64("id", "text"))
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -175,44 +216,58 @@ def _packed(texts: DataFrame) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=3)
         for b in batches:
             packed = pa.array([packer.compress(t.as_py()) for t in b["text"]], pa.binary())
-            yield pa.RecordBatch.from_arrays([b["id"], b["tag"], packed], names=["id", "tag", "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], packed], names=b.schema.names)
 
-    return texts.select("id", "tag", "text").mapInArrow(run, "id long, tag long, text binary")
+    texts = texts.select("doc_id", "id", "row", "text")
+    return texts.mapInArrow(run, texts.schema)
 
 
 def _release(spark: SparkSession) -> None:
     """Let the driver drop what it no longer refers to, and with it the shuffle files on disk.
 
     The listeners of the session hold the last query until another one ends, hence the small query.
+    A session without a JVM at hand leaves that to the server.
     """
     spark.range(1).count()
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if not type(spark).__module__.startswith("pyspark.sql.connect"):
+        spark.sparkContext._jvm.System.gc()
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of each text. Of a key in more than two texts of a batch, all but two are ``known`` to be shared."""
     for b in batches:
-        keys, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, t in zip(b["id"].to_numpy(), b["text"], strict=True):
+        keys, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        _, once = np.unique(b["row"].to_numpy(), return_index=True)  # equal rows have equal keys
+        b = b.take(pa.array(once))
+        for i, t in zip(b["row"].to_numpy(), b["text"], strict=True):
             if len(t := t.as_py()) >= LENGTH:
                 keys.append(np.unique(window_runs(t)[0]))
-                ids.append(np.full(len(keys[-1]), i))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], names=["key", "id"])
+                rows.append(np.full(len(keys[-1]), i))
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        order = np.argsort(key)
+        key, row = key[order], row[order]
+        first = np.append(True, key[1:] != key[:-1])[: len(key)]
+        known = ~first & ~np.append(first[1:], True)[: len(key)]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(known)], names=["key", "row", "known"])
 
 
 def _pass_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``key, id``, those whose key has two ids or more; holds one row."""
-    last_key, last_id, open_ = None, None, False
+    """Of rows sorted by ``key, row``, those whose key is known to be shared or has two rows or more; holds one row."""
+    last_key, last_row, open_ = None, None, False
     for b in batches:
-        keys, ids = b["key"].to_numpy(), b["id"].to_numpy()
+        known = b["known"]
+        yield b.filter(known).select(["key", "row"])
+        b = b.filter(pc.invert(known))
+        keys, rows = b["key"].to_numpy(), b["row"].to_numpy()
         if not len(keys):
             continue
         if last_key is not None:
-            keys, ids = np.append(last_key, keys), np.append(last_id, ids)
+            keys, rows = np.append(last_key, keys), np.append(last_row, rows)
         new = np.append(True, keys[1:] != keys[:-1])
         group = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
-        several = np.append(np.minimum.reduceat(ids, heads) != np.maximum.reduceat(ids, heads), False)
+        several = np.minimum.reduceat(rows, heads) != np.maximum.reduceat(rows, heads)
         if last_key is not None and open_:
             several[0] = True
         keep = several[group]
@@ -221,27 +276,81 @@ def _pass_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             passed[0] = False  # already passed with its own batch
         # a key that may go on: its last row is passed on later unless its key is open already
         open_ = bool(keep[-1])
-        last_key, last_id = keys[-1], ids[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[passed]), pa.array(ids[passed])], names=["key", "id"])
+        last_key, last_row = keys[-1], rows[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[passed]), pa.array(rows[passed])], names=["key", "row"])
+
+
+SEGMENTS = "key long, id long, row long, start int, size int, segment binary"
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpacker = zstandard.ZstdDecompressor()
     for b in batches:
-        keys, segments, ids, tags, starts = [np.empty(0, np.int64)], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, tag, t, wanted in zip(b["id"].to_numpy(), b["tag"].to_numpy(), b["text"], b["keys"], strict=True):
+        out = [[np.empty(0, np.int64)] for _ in range(5)]
+        segments = []
+        for i, row, t, wanted in zip(b["id"].to_numpy(), b["row"].to_numpy(), b["text"], b["keys"], strict=True):
             t = unpacker.decompress(t.as_py())
             if len(t) < LENGTH:
                 continue
             key, first, end = window_runs(t)
             held = np.flatnonzero(np.isin(key, wanted.values.to_numpy()))
-            keys.append(key[held])
-            starts.append(first[held])
-            ids.append(np.full(len(held), i))
-            tags.append(np.full(len(held), tag))
+            n = len(held)
+            for column, values in zip(out, (key[held], np.full(n, i), np.full(n, row), first[held], end[held] + LENGTH - 1 - first[held])):
+                column.append(values)
             segments += [t[first[j] : end[j] + LENGTH - 1] for j in held]
-        numbers = [pa.array(np.concatenate(x)) for x in (keys, ids, tags, starts)]
-        yield pa.RecordBatch.from_arrays([*numbers, pa.array(segments, pa.binary())], names=["key", "id", "tag", "start", "segment"])
+        yield _segments(out, segments)
+
+
+def _segments(columns: list[list[np.ndarray]], segments: list[bytes]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    numbers = [pa.array(np.concatenate(c).astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array(segments, pa.binary())], names=["key", "id", "row", "start", "size", "segment"])
+
+
+def _route_again(by):
+    """Segments cut into the runs of windows that share their key and the one that ``by`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, size = b["key"].to_numpy(), b["size"].to_numpy().astype(np.int64)
+            whole = b"".join(b["segment"].to_pylist())
+            firsts = np.cumsum(size) - size
+            owner = np.repeat(np.arange(len(size)), size)
+            # windows that reach into the next segment are dropped, and where one was a run ends
+            at = np.flatnonzero(np.arange(len(whole)) + LENGTH <= (firsts + size)[owner])
+            own = owner[at]
+            again = _mixed(by(np.frombuffer(whole, np.uint8), key[owner])[at], key[own].view(np.uint64)).view(np.int64)
+            first = np.flatnonzero(np.append(True, (again[1:] != again[:-1]) | (own[1:] != own[:-1])))
+            last = np.append(first[1:], len(at)) - 1
+            start, end, own, again = at[first], at[last] + LENGTH, own[first], again[first]
+            numbers = (again, b["id"].to_numpy()[own], b["row"].to_numpy()[own], b["start"].to_numpy()[own] + start - firsts[own], end - start)
+            yield _segments([[x] for x in numbers], [whole[i:j] for i, j in zip(start.tolist(), end.tolist())])
+
+    return run
+
+
+def _hot_keys(segments: DataFrame, bound: int) -> DataFrame:
+    """Keys whose different segments have more than ``bound`` bytes. Copies count only in a first, cheap choice."""
+    some = segments.groupBy("key").agg(F.sum("size").alias("n")).where(F.col("n") > bound).select("key")
+    once = segments.select("key", "mark", "size").join(some, "key", "left_semi").groupBy("key", "mark").agg(F.max("size").alias("size"))
+    return once.groupBy("key").agg(F.sum("size").alias("n")).where(F.col("n") > bound).select("key")
+
+
+def bounded_segments(segments: DataFrame, bound: int = HOT) -> DataFrame:
+    """The same windows under keys whose different segments have at most ``bound`` bytes each."""
+    done = []
+    for by in (next_least, whole_window):
+        hot = stored(_hot_keys(segments, bound), "suffix-hot")
+        if hot.isEmpty():
+            break
+        done.append(segments.join(hot, "key", "left_anti"))
+        cut = segments.join(hot, "key", "left_semi").select("key", "id", "row", "start", "size", "segment").mapInArrow(_route_again(by), SEGMENTS)
+        segments = stored(cut.withColumn("mark", F.xxhash64("segment")), "suffix-again")
+    for part in done:
+        segments = segments.unionByName(part)
+    return segments
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +367,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, s, i in zip(b["key"].to_pylist(), b["segment"].to_pylist(), b["id"].to_pylist(), strict=True):
             low, high = held.get((k, s), (i, i))
             held[k, s] = (min(low, i), max(high, i))
-        if len(held) > 200_000:
+        if len(held) > MERGED:
             yield rows()
             held.clear()
     if held:
@@ -300,39 +409,42 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ranges(pa.Table.from_batches(held))
 
 
-def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, tag, copy, spans`` of the texts of which bytes have to go.
+def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: int = HOT) -> DataFrame:
+    """``id, row, copy, spans`` of the texts of which bytes have to go.
 
     ``copy`` marks texts that equal one of a smaller id, ``spans`` are the byte ranges of
     windows that start in a smaller id too; they may overlap.
     """
     spark = docs.sparkSession
     texts = _texts(docs, doc_id, text)
-    digests = texts.where(F.octet_length("text") >= LENGTH).select("id", "tag", F.sha2("text", 256).alias("digest"))
-    digests = stored(digests, "suffix-digests")
+    digests = stored(texts.where(F.octet_length("text") >= LENGTH).select("id", "row", F.sha2("text", 256).alias("digest")), "suffix-digests")
     first = stored(digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"), "suffix-first")
-    copies = stored(digests.join(first, "digest").where("first < id").select("id", "tag").distinct(), "suffix-copies")
-
-    keyed = texts.select("id", "text").mapInArrow(_emit_keys, "key long, id long")
-    shared = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pass_shared, "key long, id long")
-    wanted = stored(shared.groupBy("id").agg(F.collect_list("key").alias("keys")), "suffix-keys")
+    copies = stored(digests.join(first, "digest").where("first < id").select("id", "row").distinct(), "suffix-copies")
+    emptied(digests, first)
+
+    keyed = texts.select("row", "text").mapInArrow(_emit_keys, "key long, row long, known boolean")
+    # rows that need not meet their key are spread by their own
+    dealt = keyed.repartition(F.col("key"), F.when(F.col("known"), F.col("row"))).sortWithinPartitions("key", "row")
+    shared = dealt.mapInArrow(_pass_shared, "key long, row long").groupBy("row").agg(F.collect_set("key").alias("keys"))
+    wanted = stored(shared.join(copies.select("row"), "row", "left_anti"), "suffix-keys")
     _release(spark)
-    wanted = wanted.join(copies.groupBy("id").agg(F.collect_list("tag").alias("copied")), "id", "left")
-    own = ~F.coalesce(F.array_contains("copied", F.col("tag")), F.lit(False))
-    cut = _packed(texts).join(wanted, "id").where(own).select("id", "tag", "text", "keys")
-    cut = cut.mapInArrow(_cut_segments, "key long, id long, tag long, start long, segment binary")
-    segments = stored(cut.withColumn("mark", F.xxhash64("segment")), "suffix-segments")
+    cut = _packed(texts).join(wanted, "row").select("id", "row", "text", "keys").mapInArrow(_cut_segments, SEGMENTS)
+    cut = stored(cut.withColumn("mark", F.xxhash64("segment")), "suffix-segments")
+    emptied(wanted)
     _release(spark)
+    segments = bounded_segments(cut, bound)
     merged = segments.select("key", "segment", "id").mapInArrow(_merge, "key long, segment binary, least_id long, last_id long").repartition("key")
     merged = merged.groupBy("key", "segment").agg(F.min("least_id").alias("least_id"), F.max("last_id").alias("last_id"))
     merged = merged.withColumn("mark", F.xxhash64("segment")).sortWithinPartitions("key")
     marks = stored(merged.mapInArrow(_mark, "key long, mark long, from_ long, to_ long, least long"), "suffix-marks")
     _release(spark)
-    found = segments.select("key", "mark", "id", "tag", "start").join(marks, ["key", "mark"]).where("least < id")
+    found = segments.select("key", "mark", "id", "row", "start").join(marks, ["key", "mark"]).where("least < id")
     span = F.struct((F.col("start") + F.col("from_")).alias("start"), (F.col("start") + F.col("to_") + LENGTH - 1).alias("end"))
-    spans = found.groupBy("id", "tag").agg(F.collect_list(span).alias("spans"))
+    # a set, as rows equal in id and text have the same spans
+    spans = found.groupBy("id", "row").agg(F.collect_set(span).alias("spans"))
     both = spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"copy": F.lit(True), "spans": F.array().cast(spans.schema["spans"].dataType)}))
-    out = stored(both.groupBy("id", "tag").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
+    out = stored(both.groupBy("id", "row").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
+    emptied(cut, marks, copies)
     _release(spark)
     return out
 
@@ -358,20 +470,24 @@ def _subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(t), removed, n, kept.hexdigest()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         columns = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([b["id"], *columns], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs``.
 
-    A null text is empty. Ids are compared as longs; a null id comes after all others and
-    never makes another's text a repeat of a row with a null id. Strings that repeat within
-    one id, in one row or several, stay; repeated rows get equal results. No rows give no rows.
+    A null text is empty. Ids are compared as longs; a null id, or one that is not a number, comes
+    after all others with the greatest long and never makes another's text a repeat of such a row.
+    Strings that repeat within one id, in one row or several, stay; repeated rows get equal
+    results. Texts of any length are read whole, each by one task; other columns are ignored; no
+    rows give no rows.
     """
-    spans = repeats(docs, doc_id=doc_id, text=text)
-    marked = _packed(_texts(docs, doc_id, text)).join(spans, ["id", "tag"], "left").select("id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
-    out = marked.mapInArrow(_subtract, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.when(F.col("id") != LAST_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    spans = repeats(docs, doc_id=doc_id, text=text, bound=bound)
+    texts = _texts(docs, doc_id, text)
+    marked = _packed(texts).join(spans, ["id", "row"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    own = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType)])
+    counts = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(_subtract, T.StructType(own.fields + counts.fields))
 
 
 @query("op3_suffix_repeats")

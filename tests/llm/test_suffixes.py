@@ -71,3 +71,69 @@ def test_suffix_array_orders_by_fifty_bytes(text):
 
 def test_no_rows(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def hot_corpus(size):
+    """A third of the rows has one 16-byte header before distinct text, a third no id and few passages."""
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passages = [own(120) for _ in range(3)]
+    rows = [(i, f"Document-Id: #{i:03d}" + own(90)) for i in range(size)]
+    rows += [(None, rng.choice(passages) + own(30)) for _ in range(size)] + [(None, passages[0])] * 20
+    rows += [(1000 + i, own(60) + "Document-Id: #" + own(70) + (passages[i % 3] if i % 4 == 0 else "")) for i in range(size)]
+    return rows
+
+
+def test_hot_keys_are_routed_again_until_they_fit(spark, monkeypatch):
+    rows = hot_corpus(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks, marked = [], suffixes.least_ids
+    kept = {}
+    cut = suffixes.bounded_segments
+
+    def watched(segments, bound):
+        out = cut(segments, bound)
+        once = out.groupBy("key", "mark").agg({"size": "max"}).withColumnRenamed("max(size)", "size")
+        kept["largest"] = once.groupBy("key").agg({"size": "sum"}).agg({"sum(size)": "max"}).first()[0]
+        return out
+
+    monkeypatch.setattr(suffixes, "bounded_segments", watched)
+    for bound in (1 << 19, 2000, 60):
+        got = sorted(map(tuple, suffixes.remove_repeats(df, bound=bound).collect()), key=repr)
+        assert got == plain(rows)
+        blocks.append(kept["largest"])
+    assert marked is suffixes.least_ids
+    # the last bound is below two windows, so every key has one window there
+    assert blocks[0] > 2000 >= blocks[1] and blocks[2] <= 60
+
+
+def test_a_key_of_many_texts_is_two_rows_a_batch():
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    texts = [b"x" * 60 + bytes(rng.randrange(97, 120) for _ in range(80)) for _ in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array(texts, pa.binary())], names=["row", "text"])
+    (out,) = suffixes._emit_keys(iter([batch]))
+    sent = {}
+    for k, r, known in zip(*(out[c].to_pylist() for c in ("key", "row", "known"))):
+        sent.setdefault(k, []).append((r, known))
+    assert max(len(v) for v in sent.values()) >= 500
+    for v in sent.values():
+        assert len({r for r, _ in v}) == len(v) and sum(not known for _, known in v) == min(2, len(v))
+
+
+def test_ids_at_the_end_of_the_range_and_ids_that_are_no_numbers(spark):
+    text = "some passage that is long enough to be a repeat of fifty bytes or more"
+    rows = [(2**63 - 1, text), (5, text), (None, text)]
+    got = sorted(map(tuple, suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == plain(rows) or {r[0]: r[2] for r in got} == {5: 0, None: len(text), 2**63 - 1: len(text)}
+    named = spark.createDataFrame([("7", text), ("b", text), ("a", text)], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in suffixes.remove_repeats(named).collect()} == {"7": 0, "a": len(text), "b": len(text)}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(11)
+    rows = [(1, "".join(rng.choice("abcde") for _ in range(60_000)))]
+    rows.append((2, rows[0][1][10_000:50_000] + "z" * 500))
+    got = sorted(map(tuple, suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == plain(rows)
