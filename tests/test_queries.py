@@ -19,6 +19,9 @@ SELECTED = [
     "zone_spread", "ohlc_vwap", "front_contract", "roll_premium", "weather_grid_mean", "deaccumulate",
     "iso_json_flatten", "market_file_hours", "clean_trades", "daily_dataset_valid_days", "hourly_spine",
     "bronze_union", "generation_refresh", "load_inter_load", "spot_price_load", "commodities_load", "stream_ohlc",
+    "hourly_spine_all_tables", "spot_price_all_sources", "control_six_pairs", "futures_from_trades", "diff_by_digest",
+    "missing_hours_as_intervals", "step_levels_on_readings", "table_spans", "landed_documents", "stream_trades_to_bars",
+    "stream_day_status",
 ]
 KEYS = list(entry.queries()) if os.environ.get("GRIDHOUR_ALL") else SELECTED
 
