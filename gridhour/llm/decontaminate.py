@@ -144,11 +144,13 @@ def phrase_matches(posted: DataFrame, wins: DataFrame, slop: int = 0) -> DataFra
     ranked = words.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = ranked.groupBy("win", "size").agg(F.min(F.struct("n", "offset", "term")).alias("r")).where("r.n > 0")
     rarest = stored(rarest.select("win", "size", F.col("r.offset").alias("offset"), F.col("r.term").alias("term")), "index-rarest")
-    proposed = posted.join(rarest, "term").select("win", "size", "row", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    shifts = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
+    # the rarest term itself may be displaced, even to before the window's place or the text's start
+    proposed = posted.join(rarest, "term").select("win", "size", "row", "pos", "offset", shifts.alias("shift"))
+    proposed = proposed.select("win", "size", "row", (F.col("pos") - F.col("offset") - F.col("shift")).alias("start")).where("start >= 0" if not slop else f"start >= -{slop}")
     proposed = stored(proposed.distinct(), "index-starts")
     words = stored(words, "index-words")
     wanted = proposed.join(words.select("win", "offset", "term"), "win")
-    shifts = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
     wanted = wanted.select("win", "size", "row", "start", "offset", "term", shifts.alias("shift")).withColumn("pos", F.col("start") + F.col("offset") + F.col("shift"))
     agreed = wanted.join(posted, ["row", "pos", "term"]).groupBy("win", "size", "row", "start").agg(F.countDistinct("offset").alias("n") if slop else F.count(F.lit(1)).alias("n"))
     return agreed.where("n = size").select("win", "size", "row", "start")
@@ -185,7 +187,12 @@ def contamination(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int, *, window: int = WINDOW) -> DataFrame:
-    """``doc_id, item_id, start`` of windows whose words all stand within ``slop`` of their place."""
+    """``doc_id, item_id, start`` of windows whose words all stand within ``slop`` of their place.
+
+    ``start`` is where the window's first word would have its exact place, which may lie up to
+    ``slop`` before the text. All postings of the windows' words are stored for this, while
+    :func:`search` stores only those that can be part of an exact match.
+    """
     wins = stored(windows(items, window=window), "index-windows")
     vocabulary = wins.select(F.explode("words").alias("term")).distinct()
     indexed = stored(index(docs, vocabulary, None, 1), "index")
