@@ -70,6 +70,8 @@ def mix(
     weights: Sequence[int] = (1, 2, 3),
     cap: int = 3,
     seed: str = "",
+    salt: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Documents with their source's target and what the mix takes of each.
 
@@ -80,16 +82,20 @@ def mix(
 
     A null size counts 0; a quality that is null, not a number or not above 0 counts 1e-6. A
     null source is a source. Null and repeated ids are allowed: equal ids draw equal numbers
-    and are ordered by size, equal rows are interchangeable. No rows give no rows.
+    and are ordered by size, equal rows are interchangeable. Rows without an id draw by ``salt``, a
+    text that tells them apart. Only sizes of texts are used, however long they are. ``carry``
+    names columns of ``docs`` that come along as ``carry_<column>``; others are ignored, whatever
+    their names. No rows give no rows.
     """
     q = F.lit(1.0) if quality is None else quality.cast("double")
     q = F.when(F.isnan(q) | q.isNull() | (q <= 0), F.lit(1e-6)).otherwise(q)
-    digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))), 1, 13), 16, 10)
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null"), F.lit("") if salt is None else salt)))), 1, 13), 16, 10)
     drawn = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
         (-F.log((digits.cast("double") + 0.5) / F.lit(float(1 << 52))) / q).alias("draw"),
+        *[F.col(c).alias(f"carry_{c}") for c in carry],
     )
     rows = stored(drawn, "mix-rows")
     step = F.log("draw") * BINS
@@ -100,6 +106,7 @@ def mix(
             "sub_bin": F.floor((step - F.floor(step)) * SUB_BINS),
         }
     )
+    brought = [f"carry_{c}" for c in carry]
     sizes = rows.groupBy("key_of_source", "source").agg(F.sum("size").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = source_targets(sizes, weights, cap).withColumn("epochs", epochs)
@@ -119,7 +126,7 @@ def mix(
     clear = placed.where(~F.coalesce(split, F.lit(False))).withColumn("selected", F.coalesce(inside, F.lit(False)))
     ordered = placed.where(split).withColumn("selected", 2 * upto - F.col("size") <= 2 * F.col("budget"))
     taken = F.col("size") * (F.col("epochs") + F.col("selected").cast("long"))
-    return clear.unionByName(ordered).select("doc_id", "source", "size", "source_size", "target", "epochs", "selected", taken.alias("taken"))
+    return clear.unionByName(ordered).select("doc_id", "source", "size", "source_size", "target", "epochs", "selected", taken.alias("taken"), *brought)
 
 
 def text_quality(text: Column) -> Column:
@@ -129,19 +136,20 @@ def text_quality(text: Column) -> Column:
     return F.when(size == 0, F.lit(1.0)).otherwise(size.cast("double") / (size + symbols))
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """:func:`mix` of a ``documents`` table by its words and the quality of its texts."""
-    return mix(docs, n_words(F.col("text")), quality=text_quality(F.col("text")))
+    salt = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return mix(docs, n_words(F.col("text")), quality=text_quality(F.col("text")), salt=salt, carry=carry)
 
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS salt, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]+', '', 'g')) AS symbols
   FROM documents),
 k AS (
   SELECT doc_id, source, size,
-    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+    -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null' || salt)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
       / CASE WHEN size = 0 THEN 1.0 ELSE CAST(size AS DOUBLE) / (size + symbols) END AS draw FROM d),
 s AS (SELECT source, sum(size) AS source_size FROM k GROUP BY source),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
@@ -156,7 +164,7 @@ r AS (
   SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS budget,
     sum(k.size) OVER (PARTITION BY k.source ORDER BY k.draw, k.doc_id NULLS FIRST, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, round(target, 3) AS target,
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(size * (epochs + CASE WHEN budget > 0 AND 2 * upto - size <= 2 * budget THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
 """
@@ -165,4 +173,4 @@ FROM r
 @query("op1_source_mix", SQL)
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
