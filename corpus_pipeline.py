@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridhour.llm.common import stored, table
+from gridhour.llm.common import emptied, stored, table, unused
 from gridhour.llm.decontaminate import drop_contaminated
 from gridhour.llm.lines import line_dedup
 from gridhour.llm.mixing import mix_documents
@@ -40,8 +40,10 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that the mix takes of each; a target is that of the source."""
-    return mix_documents(docs)
+    """All columns of documents with the words that the mix takes of each; a target is that of the source."""
+    mixed = mix_documents(docs, carry=docs.columns)
+    added = {unused(docs, c): F.col(c) for c in ("size", "source_size", "target", "epochs", "selected", "taken")}
+    return mixed.select(*[F.col(f"carry_{c}").alias(c) for c in docs.columns], *[v.alias(n) for n, v in added.items()])
 
 
 STAGES = [
@@ -57,8 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the ``documents`` of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the ``documents`` of ``sf_dir``; of what stages have written only the last is kept.
+
+    Null and repeated ids, repeated rows, null, empty and very long texts, and an empty table pass
+    through every stage, as each states for its operator; columns beyond those of documents stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            emptied(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
