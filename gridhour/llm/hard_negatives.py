@@ -30,8 +30,8 @@ LABELS, SHIFT_EVERY, ANCHOR_EVERY = 10, 7, 100
 SAMPLE, REFERENCES = 1024, 8
 #: A block has at most so many rows; tables of few rows have smaller blocks, so that all cores work.
 BLOCK, SMALL_BLOCK, FEW = 1 << 17, 1 << 11, 64
-#: Anchors that meet a block at a time.
-BATCH = 256
+#: Pairs of anchors and rows whose bounds are held at a time, 32 MB an array.
+CELLS = 1 << 22
 #: Stored angles and products of doubles are far more exact than this share of both norms.
 ROUNDING = 1e-6
 LONG = (1 << 63) - 1
@@ -209,8 +209,9 @@ def _meet(choose):
             elif held or rows:
                 if rows is None:
                     rows, held = _unpack(pa.Table.from_batches(held).combine_chunks().to_batches()[0]), []
-                for start in range(0, part.num_rows, BATCH):
-                    piece = part.slice(start, BATCH)
+                step = max(1, CELLS // len(rows["id"]))
+                for start in range(0, part.num_rows, step):
+                    piece = part.slice(start, step)
                     a = _unpack(piece) | {"scores": piece["scores"].to_pylist()}
                     low, high = _bounds(a, rows)
                     out = [choose(a, rows, low, high, i) for i in range(piece.num_rows)]
