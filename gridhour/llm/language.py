@@ -24,6 +24,11 @@ from gridhour.llm.common import id_bucket, query, table
 #: Texts that the model is fitted on, dealt evenly to the languages, but so many of each language
 #: at least, if it has them; and the longest of them in characters.
 SAMPLE, LEAST_EACH, MAX_SAMPLE_CHARS = 600, 25, 20_000
+#: Languages that are learned at most, the most frequent: so the driver holds at most
+#: max(SAMPLE, LABELS * LEAST_EACH) texts and the broadcast 3 * 2 ** BITS * LABELS weights.
+LABELS = 64
+#: Of the texts of a training step so many hundredths are followed by the half of another text.
+SWITCHED = 25
 EPOCHS, RATE, DECAY = 5, 0.25, 1e-5
 BITS = 15
 UNKNOWN = "und"
@@ -47,8 +52,13 @@ class Words:
         return np.repeat(np.arange(len(self.starts)), np.diff(np.append(self.starts, len(self.grams[0]))))
 
 
+def split_words(text: str | None) -> list[str]:
+    """Lower-case words; a text without a letter (numbers and signs that only look like words) has none."""
+    return WORD.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
+
+
 def read_words(texts: list[str | None]) -> Words:
-    listed = [WORD.findall(t.lower()) if t else [] for t in texts]
+    listed = [split_words(t) for t in texts]
     lengths = np.array([len(w) for w in listed], np.int64)
     joined = b" ".join(" ".join(w).encode() for w in listed if w)
     letters = np.frombuffer(b" " + joined + b"   ", np.uint8).astype(np.uint32)
@@ -114,7 +124,7 @@ class Model:
         """The words of a text, lower-cased, each with its likeliest language."""
         words = read_words([text])
         best = self.marginals(self.emissions(words), words.lengths)[0].argmax(axis=1) if len(words.starts) else []
-        return [(w, self.labels[k]) for w, k in zip(WORD.findall((text or "").lower()), best, strict=True)]
+        return [(w, self.labels[k]) for w, k in zip(split_words(text), best, strict=True)]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         words = read_words(texts)
@@ -131,7 +141,11 @@ class Model:
 
 
 def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
-    """Maximise the likelihood of texts whose words all carry the text's label (Adagrad)."""
+    """Maximise the likelihood of texts whose words all carry the text's label (Adagrad).
+
+    Some texts of a step are cut in the middle and go on with the second half of another one, so
+    that moves from each language to the others are learned from text that switches.
+    """
     labels = sorted(set(langs))
     k = len(labels)
     model = Model(labels, [np.zeros((1 << BITS, k), np.float32) for _ in range(3)], np.zeros((k, k), np.float32))
@@ -141,11 +155,17 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
         order = np.random.default_rng(epoch).permutation(len(texts))
         for i in range(0, len(order), 40):
             chosen = order[i : i + 40]
-            words = read_words([texts[j] for j in chosen])
+            listed = [split_words(texts[j]) for j in chosen]
+            runs = [[(truth[j], len(w))] for j, w in zip(chosen, listed, strict=True)]
+            for at in range(0, len(chosen) * SWITCHED // 100):
+                other = len(chosen) - 1 - at
+                head, tail = listed[at][: (len(listed[at]) + 1) // 2], listed[other][len(listed[other]) // 2 :]
+                listed[at], runs[at] = head + tail, [(truth[chosen[at]], len(head)), (truth[chosen[other]], len(tail))]
+            words = read_words([" ".join(w) for w in listed])
             if not len(words.starts):
                 continue
             each, pairs = model.marginals(model.emissions(words), words.lengths)
-            said = np.repeat(truth[chosen], words.lengths)
+            said = np.concatenate([np.repeat([label for label, _ in r], [n for _, n in r]) for r in runs])
             slope = -each
             slope[np.arange(len(said)), said] += 1
             grads = []
@@ -155,7 +175,10 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
                 grads.append(np.stack([np.bincount(grams[valid], by[:, c], 1 << BITS) for c in range(k)], axis=1))
             grads.append(np.stack([np.bincount(words.lexicon, slope[:, c], 1 << BITS) for c in range(k)], axis=1))
             seen = np.zeros((k, k))
-            np.add.at(seen, (truth[chosen], truth[chosen]), np.maximum(words.lengths - 1, 0))
+            inside = np.ones(len(said), bool)  # a word that no other of its text comes before has no move
+            inside[(np.cumsum(words.lengths) - words.lengths)[words.lengths > 0]] = False
+            at = np.flatnonzero(inside)
+            np.add.at(seen, (said[at - 1], said[at]), 1)
             grads.append(seen - pairs)
             for table_, total, grad in zip((*model.tables, model.moves), sums, grads, strict=True):
                 step = grad / len(said) - DECAY * table_
@@ -168,11 +191,13 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     """Fit on whole texts of every language, in each those with the least hashes of id and text.
 
     Each of ``k`` languages gives at most ``max(sample // k, LEAST_EACH)`` texts, however rare it
-    is. Longer texts than ``MAX_SAMPLE_CHARS`` are not chosen, which bounds what the driver holds.
+    is. Of more than ``LABELS`` languages the most frequent are learned, ties by name; the others'
+    texts are given one of these. Longer texts than ``MAX_SAMPLE_CHARS`` are not chosen, which bounds what the driver holds.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= MAX_SAMPLE_CHARS))
     hashed = usable.select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = {r["l"]: r["n"] for r in hashed.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    counted = hashed.groupBy("l").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("h").alias("n"))
+    sizes = {r["l"]: r["n"] for r in counted.orderBy(F.desc("rows"), "l").limit(LABELS).collect()}
     if not sizes:
         return train([], [])
     each = max(sample // len(sizes), LEAST_EACH)
@@ -180,6 +205,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     # hashes first, so that no task sends many more texts than are chosen; a few times as many as
     # are wanted lie below a share of all hashes that follows from the language's size
     share = {name: min(1.0, (4 * each + 40) / max(n, 1)) for name, n in sizes.items()}
+    hashed = hashed.where(F.col("l").isin(list(sizes)))
     likely = hashed.where(below({name: min(int(s * 2**64) - 2**63, 2**63 - 1) for name, s in share.items()}))
     found: dict[str, list[int]] = {name: [] for name in sizes}
     for r in likely.select("l", "h").distinct().collect():
@@ -193,8 +219,9 @@ def detect(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     """``doc_id, lang_pred, score``: the text's language and its share of the words.
 
     A null text or one without a letter is ``und`` with score 0, and so is every text if
-    nothing could be learned. Repeated rows get equal results; other columns are ignored; no
-    rows give no rows.
+    nothing could be learned. Of languages with equal shares the first by name counts. Texts of
+    any length are read whole, the longest as one sequence in one task. Repeated rows get equal
+    results; other columns are ignored; no rows give no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
