@@ -71,14 +71,15 @@ def _valid(kind: Column, found: Column) -> Column:
     )
 
 
-def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All documents as ``row, doc_id``, and their valid matches of every kind.
+def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All documents as ``row, doc_id`` (and ``whole``, the text, if asked for), and their valid matches of every kind.
 
     Matches have ``row, kind, rank, start, stop, found, before``; positions are code points,
     ``stop`` is exclusive. Texts without a digit or an at-sign are read once and hold none.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.when(t.rlike(r"[0-9@]|[\[(](?:at|AT)[\])]"), t).alias("text"))
+    kept = [F.col(text).cast("string").alias("whole")] if keep_text else []
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), *kept, F.when(t.rlike(r"[0-9@]|[\[(](?:at|AT)[\])]"), t).alias("text"))
 
     def pieces(pattern: str) -> Column:
         gaps = F.split("text", pattern, -1)
@@ -86,14 +87,15 @@ def find_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -
         return F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"), short.alias("gap"))
 
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(i).alias("rank"), pieces(p).alias("pieces")) for i, (k, p) in enumerate({**BASE, **WIDE}.items())])
-    held = stored(rows.select("row", "doc_id", F.when(F.col("text").isNotNull(), kinds).alias("kinds")), "pii-matches")
+    shown = ["row", "doc_id", *["whole"][: len(kept)]]
+    held = stored(rows.select(*shown, F.when(F.col("text").isNotNull(), kinds).alias("kinds")), "pii-matches")
     each = held.where("kinds is not null").select("row", F.explode("kinds").alias("k"))
     each = each.select("row", "k.kind", "k.rank", F.posexplode("k.pieces").alias("i", "p")).where("p.found is not null")
     each = each.select("row", "kind", "rank", "i", F.col("p.found").alias("found"), F.col("p.gap.gap").alias("gap"), F.col("p.gap.before").alias("before"))
     order = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.sum(F.col("gap") + F.length("found")).over(order)
     placed = each.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("found"))
-    return held.select("row", "doc_id"), placed.where(_valid(F.col("kind"), F.col("found"))).drop("i", "gap")
+    return held.select(*shown), placed.where(_valid(F.col("kind"), F.col("found"))).drop("i", "gap")
 
 
 def _marked(spans: DataFrame) -> DataFrame:
@@ -156,8 +158,14 @@ def _grow(x: np.ndarray, slope: np.ndarray, bend: np.ndarray, depth: int) -> Tre
     return Tree(0.0, best[1], best[2], _grow(x[low], slope[low], bend[low], depth - 1), _grow(x[~low], slope[~low], bend[~low], depth - 1))
 
 
-def boost(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[list[Tree], dict[int, float]]:
-    """Trees of the log-odds, and for each generator the least score that is precise enough."""
+def boost(
+    x: np.ndarray, positive: np.ndarray, negative: np.ndarray, held_positive: np.ndarray, held_negative: np.ndarray
+) -> tuple[list[Tree], dict[int, float]]:
+    """Trees of the log-odds, and for each generator the least score that is precise enough.
+
+    The trees are fitted on the first two counts of each cell; precision is that of the held ones,
+    which come from other rows. A generator without held spans adds nothing.
+    """
     trees, score = [], np.zeros(len(x))
     for _ in range(ROUNDS if positive.sum() else 0):
         p = 1 / (1 + np.exp(-score))
@@ -169,7 +177,8 @@ def boost(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[li
         mine = x[:, 0] == kind if len(x) else np.zeros(0, bool)
         for cut in np.unique(score[mine])[::-1] if trees else []:
             chosen = mine & (score >= cut)
-            if cut >= np.log(PRECISION / (1 - PRECISION)) and positive[chosen].sum() >= PRECISION * (positive + negative)[chosen].sum():
+            held = (held_positive + held_negative)[chosen].sum()
+            if cut >= np.log(PRECISION / (1 - PRECISION)) and held and held_positive[chosen].sum() >= PRECISION * held:
                 cuts[kind] = float(cut)
     return trees, cuts
 
@@ -179,19 +188,32 @@ def personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     ``spans`` is an array of ``rank, start, stop, kind, base`` in that order. Added spans
     overlap no base span, and of overlapping ones the longest stays. A null text is empty.
-    Repeated rows are searched each; other columns are ignored; no rows give no rows. The
-    trees see at most one count for each cell of the feature grid (every feature has fewer than 16 values, all but three only two).
+    Repeated rows are searched each; other columns are ignored; no rows give no rows; texts of any
+    length are searched whole, each by one task. The trees see at most one count for each cell of the feature grid (every feature has fewer than 16 values, all but three only two).
     """
-    rows, spans = find_spans(docs, doc_id=doc_id, text=text)
+    found = _found(docs, doc_id, text)
+    return found.select("doc_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+SPANS = "array<struct<rank:int,start:bigint,stop:bigint,kind:string,base:boolean>>"
+#: One row in so many is held out to calibrate the cuts.
+HELD = 4
+
+
+def _found(docs: DataFrame, doc_id: str, text: str, keep_text: bool = False) -> DataFrame:
+    """Every row with its spans, null where it has none."""
+    rows, spans = find_spans(docs, doc_id=doc_id, text=text, keep_text=keep_text)
     marked = stored(_marked(spans), "pii-spans")
     featured = _featured(marked)
-    counts = featured.groupBy(*[f"f_{f}" for f in FEATURES]).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    told, yes = F.pmod(F.xxhash64("row"), F.lit(HELD)) > 0, F.col("positive")
+    four = [F.count_if(told & yes).alias("p"), F.count_if(told & ~yes).alias("n"), F.count_if(~told & yes).alias("hp"), F.count_if(~told & ~yes).alias("hn")]
+    counts = featured.groupBy(*[f"f_{f}" for f in FEATURES]).agg(*four)
     cells = sorted(tuple(r) for r in counts.collect())
-    grid = np.array(cells, np.int64).reshape(-1, len(FEATURES) + 2)
-    trees, cuts = boost(grid[:, :-2], grid[:, -2].astype(float), grid[:, -1].astype(float))
+    grid = np.array(cells, np.int64).reshape(-1, len(FEATURES) + 4)
+    trees, cuts = boost(grid[:, :-4], *grid[:, -4:].astype(float).T)
 
-    score = sum((t.predict(grid[:, :-2]) for t in trees), np.zeros(len(grid)))
-    picked = [c[:-2] for c, s in zip(cells, score, strict=True) if s >= cuts.get(c[0], np.inf)]
+    score = sum((t.predict(grid[:, :-4]) for t in trees), np.zeros(len(grid)))
+    picked = [c[:-4] for c, s in zip(cells, score, strict=True) if s >= cuts.get(c[0], np.inf)]
     code = lambda values: sum(v * 16**i for i, v in enumerate(values))
     chosen = code(F.col(f"f_{f}").cast("long") for f in FEATURES).isin([code(c) for c in picked])
     added = featured.where(~F.col("touches")).where(chosen)
@@ -200,32 +222,30 @@ def personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     added = added.withColumn("beyond", beyond).where("beyond is null or start >= beyond")
     listed = marked.where("base").select("row", "rank", "start", "stop", "kind", "base").unionByName(added.select("row", "rank", "start", "stop", "kind", "base"))
     grouped = listed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rank", "start", "stop", "kind", "base"))).alias("spans"))
-    found = rows.join(stored(grouped, "pii-found"), "row", "left")
-    none = F.array().cast("array<struct<rank:int,start:bigint,stop:bigint,kind:string,base:boolean>>")
-    return found.select("doc_id", F.coalesce("spans", none).alias("spans"))
+    return rows.join(stored(grouped, "pii-found"), "row", "left")
 
 
 def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, redacted``: every span replaced by its kind in angle brackets.
+    """``doc_id, redacted``, a row for each row of ``docs``: every span replaced by its kind in angle brackets.
 
-    Base spans of different kinds may overlap; overlapping spans become one replacement. Rows
-    are matched by id, so ids must be unique and not null here.
+    Base spans of different kinds may overlap; overlapping spans become one replacement. Spans stay
+    with the row they were found in, so null, repeated and equal ids do no harm. A null text stays null.
     """
-    spans = personal_data(docs, doc_id=doc_id, text=text).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("stop"))
-    far = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shown = spans.withColumn("far", far).where("start >= far or stop > far")
-    shown = shown.withColumn("start", F.greatest("start", "far"))
-    listed = shown.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind"))).alias("s"))
-    joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(listed, "doc_id", "left")
-    step = lambda acc, s: F.struct(
-        s["stop"].alias("at"), F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")).alias("out")
-    )
-    whole = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
-    tail = F.substring("text", (F.col("acc.at") + 1).cast("int"), F.length("text"))
-    return joined.withColumn("acc", F.when(F.col("s").isNotNull(), whole)).select(
-        "doc_id", F.when(F.col("s").isNull(), F.col("text")).otherwise(F.concat("acc.out", tail)).alias("redacted")
-    )
+    found = _found(docs, doc_id, text, keep_text=True)
+    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("end"), s["kind"].alias("kind"))))
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint,kind:string>>").alias("cut"))
+
+    def step(acc: Column, s: Column) -> Column:
+        new = F.struct(F.greatest(s["start"], acc["at"]).alias("start"), (-s["end"]).alias("stop"), s["kind"].alias("kind"))
+        return F.when(-s["end"] > acc["at"], F.struct((-s["end"]).alias("at"), F.concat(acc["cut"], F.array(new)).alias("cut"))).otherwise(acc)
+
+    cuts = found.select("doc_id", "whole", F.aggregate(by_place, empty, step)["cut"].alias("cut"))
+    # the part before each cut and the one after the last; a part is read from the text once
+    before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("cut", i - 1)["stop"])
+    piece = lambda s, i: F.concat(F.substring("whole", (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), F.lit("<"), s["kind"], F.lit(">"))
+    tail = F.substring("whole", (F.get("cut", F.size("cut") - 1)["stop"] + 1).cast("int"), F.length("whole"))
+    hidden = F.concat(F.array_join(F.transform("cut", piece), ""), tail)
+    return cuts.select("doc_id", F.when(F.size("cut") > 0, hidden).otherwise(F.col("whole")).alias("redacted"))
 
 
 @query("op6_pii_boosted")
