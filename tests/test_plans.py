@@ -178,7 +178,6 @@ def test_spine_keeps_every_year_by_default(spark):
 
 
 def test_price_load_changes_only_what_a_source_delivers(spark):
-    from gridhour.plans import feeds
 
     stored = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS ts, 50.0D AS es_omie, 52.0D AS es_entsoe, 1.0D AS es_esios, 'keep' AS note")
     files = spark.createDataFrame([], "file string, text string")
@@ -194,3 +193,19 @@ def test_null_codes_are_reported_as_unmapped(spark):
 
     df = spark.createDataFrame([(None,), ("b",), ("a",)], "code string")
     assert {r.code: r.n_rows for r in resample.unmapped_codes(df, "code", {"x": ["a"]}).collect()} == {None: 1, "b": 1}
+
+
+def test_backfill_corrects_every_column_that_is_no_control(spark, tmp_path):
+    from gridhour.queries import catalog
+
+    rows = [(n, f"2024-01-01 {h}:10:00", u, kind, v, "{}") for n, (h, u, kind, v) in enumerate([
+        ("10", 2, "view", 1.0), ("10", 2, "click", 2.0), ("10", 3, "view", 1.5), ("10", 3, "click", 7.0),
+        ("11", 2, "view", 4.0), ("11", 3, "click", 3.0), ("12", 3, "click", 9.0),
+    ])]
+    df = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.REGISTRY["backfill_recompute"].build(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("2024-01-01 10:00:00", 1.5, 7.0), ("2024-01-01 11:00:00", 4.0, 3.0)]
+
+    pair = [spark.createDataFrame([(1, *v)], "ts int, a double, b double") for v in ((1.0, 2.0), (1.5, 7.0))]
+    assert [tuple(r) for r in feeds.backfill(*pair, ["ts"], ["a", "b"], control=("b",)).select("ts", "a", "b").collect()] == [(1, 1.5, 2.0)]
