@@ -70,3 +70,18 @@ def test_revised_days_do_not_depend_on_the_batches(spark, tmp_path):
             feeds.drain(q)
         results.append({r.ts.day: r.a for r in spark.read.parquet(path).collect()})
     assert results[0] == results[1] == {1: 0.0, 20: 5.0}
+
+
+def test_gaps_of_any_age_are_filled_unless_a_review_window_is_given(spark, tmp_path):
+    from gridhour.queries import catalog
+
+    # even users stored hours without a view, odd users bring one of each hour, the oldest two months late
+    hours = ["2024-01-01 10", "2024-02-20 10", "2024-03-01 10"]
+    rows = [(10 * n + u, f"{h}:05:00", u, kind, float(n), "{}") for n, h in enumerate(hours) for u, kind in ((2, "click"), (3, "view"))]
+    df = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.REGISTRY["stream_late_fill"].build(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(f"{h}:00:00", float(n)) for n, h in enumerate(hours)]
+
+    cells = df.select(F.col("t").cast("timestamp").alias("ts"))
+    assert feeds.reviewed(cells, str(tmp_path / "none"), "ts", 14).distinct().count() == 2
