@@ -161,6 +161,25 @@ def _references(spark, rows):
     return quality.references(quality.with_shapes(quality.text_counts(docs, common)), list(common))
 
 
+def test_every_language_has_a_reference_and_meets_unnamed_texts(spark):
+    """More languages than the 64 that a cap once left, and more than the 8 that unnamed texts once met."""
+    rng = random.Random(17)
+    names = [f"x{i:02d}" for i in range(67)]
+    short = {n: [chr(97 + i // 26) * 2 + chr(97 + i % 26) + c for c in "abcdefghijkl"] for i, n in enumerate(names)}
+    said = lambda n: " ".join(rng.choice(short[n]) if rng.random() < 0.4 else "".join(rng.choice("bdelmnorstu") for _ in range(7)) for _ in range(120))
+    rows = [(1000 * i + j, said(n), n) for i, n in enumerate(names) for j in range(quality.MIN_TEXTS)]
+    rows += [(-1 - i, said(n), None) for i, n in enumerate(names)]
+    babble = [" ".join("".join(rng.choice("bdelmnorstu") for _ in range(6)) for _ in range(120)) for _ in range(2)]
+    rows += [(-101, babble[0], names[-1]), (-102, babble[1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = quality.common_words(docs, "text", "lang")
+    assert {n: sorted(w) for n, w in common.items()} == {n: sorted(w) for n, w in short.items()}
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert all(got[-1 - i].kept for i in range(len(names)))
+    assert not got[-101].kept and not got[-102].kept
+    assert all(got[i].word_distance is not None for i, _, n in rows if n)
+
+
 def test_near_groups_equal_all_pairs(spark, odd, none):
     rng = random.Random(5)
     base = prose(rng, 400).split()
