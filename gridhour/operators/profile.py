@@ -13,6 +13,8 @@ from gridhour.operators.joins import join_groups
 ACCURACY = 10_000
 #: A bracket reaches this many rank errors to either side of the wanted rank.
 BRACKET = 4
+#: Rows of a group meet its brackets in so many parts.
+PARTS = 256
 
 
 def to_long(df: DataFrame, cols: list[str], ids: list[str] | None = None) -> DataFrame:
@@ -58,6 +60,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str
     one row per gap, and keeps those inside as (value, count); only these are put in order,
     at most ``8 / accuracy`` of a group's rows for each probability, however its values lie.
     The input is read twice. A rank outside its bracket would be an error, never a wrong value.
+    Rows meet the brackets in ``PARTS`` parts of each group, so no task has to sort a large group;
+    groups of at most ``accuracy`` rows have no bracket and are opened whole.
 
     NULL and NaN do not count; groups of other values give no row; a NULL group is a group.
     """
@@ -71,27 +75,28 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: tuple[str
         F.count("*").alias("n"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.percentile_approx("v", ends, accuracy).alias("e")
     )
     # a small group is opened whole, as there one rank is more than the reach
-    small = F.col("n") <= accuracy
+    brackets = sketch.where(F.col("n") > accuracy)
 
     def end(i: int) -> Column:
-        outer = {0.0: F.col("v0"), 1.0: F.col("v1")}.get(ends[i], F.col("e")[i])
-        return F.when(small, F.col("v1" if i % 2 else "v0")).otherwise(outer).alias(f"e{i}")
+        return {0.0: F.col("v0"), 1.0: F.col("v1")}.get(ends[i], F.col("e")[i]).alias(f"e{i}")
 
-    brackets = sketch.select(*by, "n", *[end(i) for i in range(len(ends))])
+    brackets = brackets.select(*by, *[end(i) for i in range(len(ends))])
     if by:
-        placed = join_groups(rows, brackets, by)
+        dealt = rows.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)))
+        copies = brackets.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+        placed = join_groups(dealt, copies, [*by, "_part"], "left")
     else:
         # one row of bounds, read back as a scalar: no join on a constant key
         bound = brackets.select(F.struct("*").alias("b")).scalar()
         placed = rows.select("v", bound.alias("b")).select("v", "b.*")
     pairs = [(F.col(f"e{2 * i}"), F.col(f"e{2 * i + 1}")) for i in range(len(probs))]
-    inside = any_of([(F.col("v") >= lo) & (F.col("v") <= hi) for lo, hi in pairs])
+    inside = F.col("e0").isNull() | any_of([(F.col("v") >= lo) & (F.col("v") <= hi) for lo, hi in pairs])
     passed = [F.when(F.col("v") > hi, hi) for _, hi in pairs]
     last = F.greatest(*passed) if len(passed) > 1 else passed[0]
     # a gap stands right after the end of the last bracket before it
-    counted = placed.groupBy(*by, F.when(inside, F.col("v")).otherwise(last).alias("v"), (~inside).alias("gap")).agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    counted = placed.groupBy(*by, F.when(inside, F.col("v")).otherwise(last).alias("v"), (~inside).alias("gap")).agg(F.count("*").alias("c"))
     up = Window.partitionBy(*by).orderBy(F.asc_nulls_first("v"), "gap").rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.withColumn("upto", F.sum("c").over(up)).withColumn("below", F.col("upto") - F.col("c"))
+    run = counted.withColumn("upto", F.sum("c").over(up)).withColumn("n", F.sum("c").over(Window.partitionBy(*by))).withColumn("below", F.col("upto") - F.col("c"))
     wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("prob"), F.lit(hi).alias("hi")) for p in probs for hi in (0, 1)])).alias("w")
     ranks = run.select(*by, "v", "gap", "below", "upto", "n", wanted).select(*by, "v", "gap", "below", "upto", "n", "w.prob", "w.hi")
     position = F.col("prob") * (F.col("n") - 1)

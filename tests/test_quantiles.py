@@ -47,6 +47,32 @@ def test_only_the_brackets_are_put_in_order(spark):
     assert text.count("Range (") == 2  # the input twice
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_a_large_group_meets_its_brackets_in_many_tasks(spark, monkeypatch, wide):
+    """Where the brackets are not broadcast, rows of one group used to be sorted by one task."""
+    df = spark.range(60000).select(((F.col("id") * 7919) % 60013).cast("double").alias("x"), F.when(F.col("id") < 0, "b").otherwise("a").alias("g"))
+    values = np.arange(60000) * 7919 % 60013
+    joined, join = [], profile.join_groups
+    monkeypatch.setattr(profile, "join_groups", lambda *a: joined.append(join(*a)) or joined[-1])
+    monkeypatch.setattr(profile, "ACCURACY", 1000)
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        if wide:
+            (row,) = profile.describe(df, ["x"], {"q": 0.3}).collect()
+            assert row.n == 60000
+        else:
+            (row,) = profile.exact_quantiles(df, "x", [0.3], ("g",), accuracy=1000).collect()
+        assert abs(row.q - np.quantile(values, 0.3)) < 1e-9
+        per_task = [r["count"] for r in joined[0].groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per_task) == 60000 and max(per_task) < 20000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_outliers_of_all_columns_in_one_pass(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=800), rng.lognormal(size=800)
