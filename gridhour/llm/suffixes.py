@@ -13,25 +13,28 @@ the bytes they cover is a segment.
    cut no segments.
 3. Segments of a key meet. Where the different segments of a key exceed a bound, their windows are
    routed again by the next least hash, and where that is not enough by a hash of all 50 bytes, so
-   that no task has to sort more than the bound at a time.
+   that no task has to sort more than the bound at a time. Equal runs of a segment stay one row.
 4. Equal segments are merged before the shuffle, so a passage on a third of all documents is
-   one row a task. A suffix array over blocks of them, built by two-stage sorting, brings equal
+   one row a task. Those that agree with no other of their key beside its 16 bytes share no window.
+   A suffix array over blocks of the others, built by two-stage sorting, brings equal
    windows together, and adjacent common prefixes of 50 bytes or more mark them. Each window gets
    the least id it starts in.
-5. The marks are joined back to the segments and the removed runs to the documents.
+5. The marks, one for each different segment, are joined back to the segments and the removed runs
+   to the documents.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +47,7 @@ BLOCK = 1 << 18
 HOT = 1 << 19
 #: Rows that a task holds while it merges segments.
 MERGED = 200_000
+MERGED_BYTES = 1 << 25
 LAST_ID = (1 << 63) - 1
 
 
@@ -52,12 +56,16 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (joined ^ (joined >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _eights(buffer: np.ndarray, kind: str) -> np.ndarray:
+    """The eight bytes from each position on as one number, ``<u8`` or ``>u8``."""
+    buffer = np.ascontiguousarray(buffer)
+    return np.ndarray((max(len(buffer) - 7, 0),), kind, buffer, strides=(1,)).astype(np.uint64)
+
+
 def _grams(buffer: np.ndarray) -> np.ndarray:
     """A hash of the 16 bytes from each position on."""
-    hashed, step = buffer.astype(np.uint64), 1
-    while step < GRAM:
-        hashed = _mixed(hashed[:-step], hashed[step:])
-        step *= 2
+    eight = _eights(buffer, "<u8")
+    hashed = _mixed(eight[: -GRAM // 2], eight[GRAM // 2 :])
     return hashed ^ (hashed >> np.uint64(32))
 
 
@@ -103,11 +111,7 @@ def window_runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _words(buffer: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as one number, zeros beyond the end."""
-    padded = np.concatenate([buffer, np.zeros(64, np.uint8)])
-    word = np.zeros(len(buffer) + 56, np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + len(word)]
-    return word
+    return _eights(np.concatenate([buffer, np.zeros(63, np.uint8)]), ">u8")
 
 
 def suffix_array(buffer: np.ndarray) -> np.ndarray:
@@ -191,7 +195,8 @@ def least_ids(segments: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nd
     word = _words(buffer)
     same = np.ones(len(order) - 1, bool)
     for at in (*range(0, LENGTH - 8, 8), LENGTH - 8):  # adjacent common prefix of 50 bytes or more
-        same &= word[order[1:] + at] == word[order[:-1] + at]
+        eight = word[order + at]
+        same &= eight[1:] == eight[:-1]
     heads = np.flatnonzero(np.append(True, ~same))
     least = np.empty(len(buffer), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(ids[owner[order]], heads), np.diff(np.append(heads, len(order))))
@@ -202,6 +207,47 @@ def least_ids(segments: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return owner[heads], first, first + np.diff(np.append(heads, len(at))), least[heads]
 
 
+def may_repeat(segments: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """Whether a window of each segment may stand in another one of the same key.
+
+    A window holds the 16-byte string of its key, and 34 bytes more: 17 or more of them before that string or
+    17 or more behind it. Segments with a window in common so agree in the 17 bytes on one side of some place
+    where the string stands. Keys that were made by routing again stand nowhere; their segments all may.
+    """
+    sizes = np.array([len(s) for s in segments])
+    buffer = np.frombuffer(b"".join(segments), np.uint8)
+    ends = np.cumsum(sizes)
+    hashed = _grams(buffer)
+    at = np.flatnonzero(hashed == np.repeat(keys.view(np.uint64), sizes)[: len(hashed)])
+    owner = np.searchsorted(ends, at, "right")
+    inside = at + GRAM <= ends[owner]
+    at, owner = at[inside], owner[inside]
+    may = np.ones(len(segments), bool)
+    may[owner] = False
+    side = (LENGTH - GRAM) // 2
+    eight = _eights(buffer, "<u8")
+    before, behind = at - side >= (ends - sizes)[owner], at + GRAM + side <= ends[owner]
+    held, value = [], []
+    for some, first in ((before, at[before] - side), (behind, at[behind] + GRAM)):
+        held.append(owner[some])
+        value.append(_mixed(_mixed(eight[first], eight[first + 8]), eight[first + side - 8]) + np.uint64(len(value)))
+    held, value = np.concatenate(held), np.concatenate(value)
+    value = _mixed(value, keys.view(np.uint64)[held])
+    order = np.argsort(value)
+    held, value = held[order], value[order]
+    same = value[1:] == value[:-1]
+    may[held[1:][same]] = True
+    may[held[:-1][same]] = True
+    return may
+
+
+def lost_ranges(owner: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of windows in order, with adjacent ones of a segment as one."""
+    apart = (owner[1:] != owner[:-1]) | (first[1:] != end[:-1])
+    heads, tails = np.append(True, apart)[: len(owner)], np.append(apart, True)[: len(owner)]
+    return owner[heads], first[heads], end[tails]
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The id as it is and as a long (null, or not a number: the last), the text as bytes, and a hash that stands for the row."""
     raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
@@ -280,7 +326,8 @@ def _pass_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[passed]), pa.array(rows[passed])], names=["key", "row"])
 
 
-SEGMENTS = "key long, id long, row long, start int, size int, segment binary"
+#: ``more`` are the other places in the text where a segment that was routed again stands (null: none).
+SEGMENTS = "key long, id long, row long, start int, size int, segment binary, more array<int>"
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,12 +335,14 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         out = [[np.empty(0, np.int64)] for _ in range(5)]
         segments = []
-        for i, row, t, wanted in zip(b["id"].to_numpy(), b["row"].to_numpy(), b["text"], b["keys"], strict=True):
+        ends, wanted = b["keys"].offsets.to_numpy(), b["keys"].values.to_numpy()
+        for i, row, t, low, high in zip(b["id"].to_numpy(), b["row"].to_numpy(), b["text"], ends[:-1], ends[1:], strict=True):
             t = unpacker.decompress(t.as_py())
             if len(t) < LENGTH:
                 continue
             key, first, end = window_runs(t)
-            held = np.flatnonzero(np.isin(key, wanted.values.to_numpy()))
+            own = np.sort(wanted[low:high])
+            held = np.flatnonzero(own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key)
             n = len(held)
             for column, values in zip(out, (key[held], np.full(n, i), np.full(n, row), first[held], end[held] + LENGTH - 1 - first[held])):
                 column.append(values)
@@ -301,14 +350,19 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _segments(out, segments)
 
 
-def _segments(columns: list[list[np.ndarray]], segments: list[bytes]) -> pa.RecordBatch:
+def _segments(columns: list[list[np.ndarray]], segments: list[bytes], more: list[np.ndarray | None] | None = None) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
     numbers = [pa.array(np.concatenate(c).astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([*numbers, pa.array(segments, pa.binary())], names=["key", "id", "row", "start", "size", "segment"])
+    others = pa.nulls(len(segments), pa.list_(pa.int32())) if more is None else pa.array(more, pa.list_(pa.int32()))
+    names = ["key", "id", "row", "start", "size", "segment", "more"]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array(segments, pa.binary()), others], names=names)
 
 
 def _route_again(by):
-    """Segments cut into the runs of windows that share their key and the one that ``by`` gives."""
+    """Segments cut into the runs of windows that share their key and the one that ``by`` gives.
+
+    Equal runs of a segment are one row, so a text that repeats itself gives no more rows than it has different windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,8 +379,15 @@ def _route_again(by):
             first = np.flatnonzero(np.append(True, (again[1:] != again[:-1]) | (own[1:] != own[:-1])))
             last = np.append(first[1:], len(at)) - 1
             start, end, own, again = at[first], at[last] + LENGTH, own[first], again[first]
-            numbers = (again, b["id"].to_numpy()[own], b["row"].to_numpy()[own], b["start"].to_numpy()[own] + start - firsts[own], end - start)
-            yield _segments([[x] for x in numbers], [whole[i:j] for i, j in zip(start.tolist(), end.tolist())])
+            places = [[s, *(m or ())] for s, m in zip(b["start"].to_pylist(), b["more"].to_pylist(), strict=True)]
+            runs: dict[tuple[int, int, bytes], array] = {}
+            for o, k, i, j, n in zip(own.tolist(), again.tolist(), start.tolist(), end.tolist(), (start - firsts[own]).tolist()):
+                runs.setdefault((o, k, whole[i:j]), array("i")).extend([s + n for s in places[o]])
+            own, again = (np.array([r[i] for r in runs], np.int64) for i in (0, 1))
+            segments = [r[2] for r in runs]
+            numbers = (again, b["id"].to_numpy()[own], b["row"].to_numpy()[own], np.array([s[0] for s in runs.values()]), np.array([len(s) for s in segments]))
+            more = [np.array(s[1:]) if len(s) > 1 else None for s in runs.values()]
+            yield _segments([[x] for x in numbers], segments, more)
 
     return run
 
@@ -346,7 +407,7 @@ def bounded_segments(segments: DataFrame, bound: int = HOT) -> DataFrame:
         if hot.isEmpty():
             break
         done.append(segments.join(hot, "key", "left_anti"))
-        cut = segments.join(hot, "key", "left_semi").select("key", "id", "row", "start", "size", "segment").mapInArrow(_route_again(by), SEGMENTS)
+        cut = segments.join(hot, "key", "left_semi").select("key", "id", "row", "start", "size", "segment", "more").mapInArrow(_route_again(by), SEGMENTS)
         segments = stored(cut.withColumn("mark", F.xxhash64("segment")), "suffix-again")
     for part in done:
         segments = segments.unionByName(part)
@@ -355,29 +416,37 @@ def bounded_segments(segments: DataFrame, bound: int = HOT) -> DataFrame:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal segments of a task as one row with their least and last id."""
-    held: dict[tuple[int, bytes], tuple[int, int]] = {}
+    held: list[pa.Table] = []
+    names = ["key", "segment", "least_id", "last_id"]
 
-    def rows() -> pa.RecordBatch:
-        columns = zip(*((k, s, low, high) for (k, s), (low, high) in held.items()))
-        kinds = zip(("key", "segment", "least_id", "last_id"), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))
-        made = [(name, pa.array(c, kind)) for (name, kind), c in zip(kinds, columns, strict=True)]
-        return pa.RecordBatch.from_arrays([c for _, c in made], names=[n for n, _ in made])
+    def grouped() -> pa.Table:
+        some = pa.concat_tables(held).group_by(["key", "segment"], use_threads=False)
+        return some.aggregate([("least_id", "min"), ("last_id", "max")]).select(["key", "segment", "least_id_min", "last_id_max"]).rename_columns(names)
 
     for b in batches:
-        for k, s, i in zip(b["key"].to_pylist(), b["segment"].to_pylist(), b["id"].to_pylist(), strict=True):
-            low, high = held.get((k, s), (i, i))
-            held[k, s] = (min(low, i), max(high, i))
-        if len(held) > MERGED:
-            yield rows()
-            held.clear()
-    if held:
-        yield rows()
+        held.append(pa.table([b["key"], b["segment"], b["id"], b["id"]], names=names))
+        if full(held):
+            held = [grouped()]
+            if held[0].num_rows > MERGED // 2 or held[0].nbytes > MERGED_BYTES // 2:
+                yield from held.pop().to_batches()
+    if sum(map(len, held)):
+        yield from grouped().to_batches()
+
+
+def full(held: list[pa.Table]) -> bool:
+    return sum(map(len, held)) > MERGED or sum(x.nbytes for x in held) > MERGED_BYTES
+
+
+RANGES = "array<struct<from_: int, to_: int>>"
+MARKS = f"key long, mark long, least_id long, others {RANGES}, all {RANGES}"
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merged segments sorted by key to ranges of windows that some larger id has to lose.
+    """Merged segments sorted by key to the ranges of windows that have to go, one row for each segment.
 
-    Takes a block of whole keys at a time.
+    A window goes from the ids above its least one, and that is the segment's least id or a smaller one. So
+    however many ids a segment meets there are two kinds of ranges: ``others`` are those that all ids but the
+    segment's least lose, ``all`` those that it loses as well. Takes a block of whole keys at a time.
     """
     held: list[pa.RecordBatch] = []
     size = 0
@@ -388,11 +457,21 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = np.minimum.reduceat(least_id, heads) < np.maximum.reduceat(last, heads)
         met = np.repeat(several, np.diff(np.append(heads, len(key))))  # one id alone, as copies are gone, loses nothing
         part = part.filter(pa.array(met))
-        key, mark, last = (part[c].to_numpy() for c in ("key", "mark", "last_id"))
-        owner, first, end, least = least_ids(part["segment"].to_pylist(), part["least_id"].to_numpy())
-        lost = least < last[owner]
-        columns = [x[lost] for x in (key[owner], mark[owner], first, end, least)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "mark", "from_", "to_", "least"])
+        if len(part):
+            met = may_repeat(part["segment"].to_pylist(), part["key"].to_numpy())
+            part = part.filter(pc.or_(pa.array(met), pc.less(part["least_id"], part["last_id"])))
+        key, mark, own, last = (part[c].to_numpy() for c in ("key", "mark", "least_id", "last_id"))
+        owner, first, end, least = least_ids(part["segment"].to_pylist(), own)
+        kinds = []
+        for above in (last, own):
+            lost = least < above[owner]
+            kinds.append(lost_ranges(owner[lost], first[lost], end[lost]))
+        some = np.unique(kinds[0][0])  # those of the other kind are among them
+        columns = [pa.array(x[some]) for x in (key, mark, own)]
+        for of, from_, to_ in kinds:
+            spans = pa.StructArray.from_arrays([pa.array(from_, pa.int32()), pa.array(to_, pa.int32())], ["from_", "to_"])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(of, some), len(of)), pa.int32()), spans))
+        return pa.RecordBatch.from_arrays(columns, names=["key", "mark", "least_id", "others", "all"])
 
     for b in batches:
         held.append(b)
@@ -409,6 +488,13 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ranges(pa.Table.from_batches(held))
 
 
+def _spans(segment: Column) -> Column:
+    """Byte ranges that a text loses by one segment, at each of its places."""
+    span = lambda at, x: F.struct((at + x["from_"]).alias("start"), (at + x["to_"] + LENGTH - 1).alias("end"))
+    places = F.concat(F.array(segment["start"]), F.coalesce(segment["more"], F.array().cast("array<int>")))
+    return F.flatten(F.transform(places, lambda at: F.transform(segment["lost"], lambda x: span(at, x))))
+
+
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bound: int = HOT) -> DataFrame:
     """``id, row, copy, spans`` of the texts of which bytes have to go.
 
@@ -436,12 +522,13 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", boun
     merged = segments.select("key", "segment", "id").mapInArrow(_merge, "key long, segment binary, least_id long, last_id long").repartition("key")
     merged = merged.groupBy("key", "segment").agg(F.min("least_id").alias("least_id"), F.max("last_id").alias("last_id"))
     merged = merged.withColumn("mark", F.xxhash64("segment")).sortWithinPartitions("key")
-    marks = stored(merged.mapInArrow(_mark, "key long, mark long, from_ long, to_ long, least long"), "suffix-marks")
+    marks = stored(merged.mapInArrow(_mark, MARKS), "suffix-marks")
     _release(spark)
-    found = segments.select("key", "mark", "id", "row", "start").join(marks, ["key", "mark"]).where("least < id")
-    span = F.struct((F.col("start") + F.col("from_")).alias("start"), (F.col("start") + F.col("to_") + LENGTH - 1).alias("end"))
+    found = segments.select("key", "mark", "id", "row", "start", "more").join(marks, ["key", "mark"])
+    found = found.withColumn("lost", F.when(F.col("id") > F.col("least_id"), F.col("others")).otherwise(F.col("all"))).where("size(lost) > 0")
     # a set, as rows equal in id and text have the same spans
-    spans = found.groupBy("id", "row").agg(F.collect_set(span).alias("spans"))
+    spans = found.groupBy("id", "row").agg(F.collect_set(F.struct("start", "more", "lost")).alias("found"))
+    spans = spans.select("id", "row", F.flatten(F.transform("found", _spans)).alias("spans"))
     both = spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"copy": F.lit(True), "spans": F.array().cast(spans.schema["spans"].dataType)}))
     out = stored(both.groupBy("id", "row").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("spans")).alias("spans")), "suffix-spans")
     emptied(cut, marks, copies)

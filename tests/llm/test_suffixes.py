@@ -137,3 +137,87 @@ def test_very_long_text(spark):
     rows.append((2, rows[0][1][10_000:50_000] + "z" * 500))
     got = sorted(map(tuple, suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == plain(rows)
+
+
+def near_copies(n):
+    """A text that repeats itself, after a beginning of its own and with a word changed in some of its copies."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(n):
+        text = "Is onhe. " * 60
+        at = rng.randrange(0, len(text), 9)
+        rows.append((n - i, "".join(rng.choice("abcdef ") for _ in range(20)) + (text if i % 3 else text[:at] + "Was" + text[at:])))
+    return rows
+
+
+@pytest.mark.parametrize("bound", [1 << 19, 2000, 60])
+def test_a_text_that_repeats_itself_is_routed_by_its_different_windows(spark, monkeypatch, bound):
+    rows = near_copies(40)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut, seen = suffixes.bounded_segments, {}
+
+    def watched(segments, bound):
+        out = cut(segments, bound)
+        seen["n"] = out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "bounded_segments", watched)
+    assert sorted(map(tuple, suffixes.remove_repeats(df, bound=bound).collect()), key=repr) == plain(rows)
+    different = sum(len({t[p : p + 50] for p in range(len(t) - 49)}) for _, t in rows)
+    assert seen["n"] <= different < sum(len(t) - 49 for _, t in rows) / 2
+
+
+def test_a_segment_has_one_mark_however_many_ids_it_meets():
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    base = bytes(rng.randrange(97, 123) for _ in range(84))
+    key = int(suffixes.window_runs(base[17:67])[0][0])
+    # each cut has the 50 bytes in the middle; the smaller the id, the shorter it is
+    cuts = [(base[17 - k : 67 + k], 10 + k) for k in range(18)]
+    names = ["key", "segment", "least_id", "last_id", "mark"]
+    columns = [pa.array([key] * 18), pa.array([s for s, _ in cuts]), pa.array([i for _, i in cuts]), pa.array([50] * 18), pa.array(range(18))]
+    (out,) = suffixes._mark(iter([pa.RecordBatch.from_arrays(columns, names=names)]))
+    got = {r["mark"]: r for r in out.to_pylist()}
+    assert len(got) == out.num_rows == 18
+    for k in range(18):
+        assert got[k]["others"] == [{"from_": 0, "to_": 2 * k + 1}]
+        assert got[k]["all"] == ([{"from_": 1, "to_": 2 * k}] if k else [])
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh "])
+def test_segments_left_out_of_the_suffix_array_share_no_window(letters):
+    rng = random.Random(len(letters))
+    parts = ["".join(rng.choice(letters) for _ in range(rng.randint(30, 120))) for _ in range(30)]
+    texts = ["".join(rng.choice(parts) for _ in range(6)).encode() for _ in range(60)] + [b"x" * 200, b"x" * 90, b"xy" * 80, b"xyz" * 40]
+    by_key = {}
+    for t in texts:
+        for k, f, e in zip(*suffixes.window_runs(t)):
+            by_key.setdefault(int(k), set()).add(t[f : e + 49])
+    rows = [(k, s) for k, found in sorted(by_key.items()) for s in sorted(found)]
+    may = suffixes.may_repeat([s for _, s in rows], np.array([k for k, _ in rows], np.int64))
+    met = {}
+    for i, (_, s) in enumerate(rows):
+        for p in range(len(s) - 49):
+            met.setdefault(s[p : p + 50], set()).add(i)
+    needed = set().union(*(x for x in met.values() if len(x) > 1))
+    assert needed and needed <= set(np.flatnonzero(may).tolist())
+    alone = [bytes(rng.randrange(256) for _ in range(80)) for _ in range(200)]
+    cut = [s[f : e + 49] for s in alone for k, f, e in [max(zip(*suffixes.window_runs(s)), key=lambda x: x[2] - x[1])]]
+    keys = np.array([suffixes.window_runs(s)[0][0] for s in cut])
+    assert not suffixes.may_repeat(cut, keys).any()
+
+
+def test_equal_segments_of_a_task_are_one_row(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "MERGED", 40)
+    rng = random.Random(14)
+    rows = [(rng.randrange(3), bytes([97 + rng.randrange(4)]) * 50, rng.randrange(1000)) for _ in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7])], names=["key", "segment", "id"]) for i in range(0, 500, 7)]
+    out = [r for b in suffixes._merge(iter(batches)) for r in b.to_pylist()]
+    wanted = {}
+    for k, s, i in rows:
+        low, high = wanted.get((k, s), (i, i))
+        wanted[k, s] = (min(low, i), max(high, i))
+    assert {(r["key"], r["segment"]): (r["least_id"], r["last_id"]) for r in out} == wanted and len(out) == len(wanted)
